@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.columns import DAY, micros, median, rolling
+from ..functions.columns import DAY, micros, rolling, rolling_median
 from .asof import asof_join
 from .grid import with_bar
 
@@ -107,7 +107,7 @@ def with_vol(bars: DataFrame, span: int, least: int, at: str = "at", source: str
 
 def with_liquidity(bars: DataFrame, span: int, least: int, at: str = "at") -> DataFrame:
     """Adds the median dollar volume over a trailing span of time, as of the coin's bar before."""
-    x = rolling(median, F.col("dollar_volume"), _span(bars, at, span), least)
+    x = rolling_median("dollar_volume", _span(bars, at, span), least)
     return bars.withColumn("liquidity", x).withColumn("liquidity", F.lag("liquidity").over(own(at)))
 
 

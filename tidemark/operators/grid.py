@@ -29,7 +29,8 @@ def bar_grid(bars: DataFrame, at: str = "at") -> DataFrame:
     last = bars.agg(F.max("bar")).scalar()
     spine = (bars.groupBy("symbol").agg(F.min("bar").alias("__first"))
              .select("symbol", F.explode(F.sequence("__first", last)).alias("bar"))
-             .join(stamps, "bar"))
+             # The exploded rows, not the few symbols they come from, decide the partition count.
+             .repartition("symbol").join(stamps, "bar"))
     rest = [c for c in bars.columns if c not in ("symbol", at, "bar")]
     return (spine.join(bars.select("symbol", "bar", *rest), ["symbol", "bar"], "left")
             .select("symbol", at, "bar", *rest))
@@ -38,14 +39,14 @@ def bar_grid(bars: DataFrame, at: str = "at") -> DataFrame:
 def period_grid(rows: DataFrame, keys: Sequence[str], period: str, last: Column, step: Column) -> DataFrame:
     """keys on every period from each key's first to last."""
     return (rows.groupBy(*keys).agg(F.min(period).alias("__first"), F.max(last).alias("__last"))
-            .select(*keys, F.explode(F.sequence("__first", "__last", step)).alias(period)))
+            .select(*keys, F.explode(F.sequence("__first", "__last", step)).alias(period)).repartition(*keys))
 
 
 def regular(rows: DataFrame, keys: Sequence[str], at: str, step: str = "1 hour") -> DataFrame:
     """rows on every step between each key's first and last stamp; added rows carry NULLs."""
     keys = list(keys)
     spine = (rows.groupBy(*keys).agg(F.min(at).alias("__lo"), F.max(at).alias("__hi"))
-             .select(*keys, F.explode(F.sequence("__lo", "__hi", F.expr(f"interval {step}"))).alias(at)))
+             .select(*keys, F.explode(F.sequence("__lo", "__hi", F.expr(f"interval {step}"))).alias(at)).repartition(*keys))
     return spine.join(rows, [*keys, at], "left")
 
 

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.columns import at_least, clip, median, rolling, week_end
+from ..functions.columns import at_least, rolling, rolling_median, week_end
 from .grid import bar_grid, period_grid
 
 
@@ -33,10 +33,10 @@ def rolled_bars(bars: DataFrame, rows: int = 30, least: int = 20) -> DataFrame:
     g = bar_grid(bars)
     w = Window.partitionBy("symbol").orderBy("bar")
     g = g.withColumn("traded", F.coalesce("traded", F.lit(False)))
-    return (g.withColumn("__liq", rolling(median, F.col("dollar_volume"), w.rowsBetween(-(rows - 1), 0), least))
+    return (g.withColumn("__liq", rolling_median("dollar_volume", w.rowsBetween(-(rows - 1), 0), least))
             .withColumn("__reopen", F.col("traded") & ~F.coalesce(F.lag("traded").over(w), F.lit(False)))
-            .withColumn("__later", F.max(F.col("traded").cast("int"))
-                        .over(w.rowsBetween(0, Window.unboundedFollowing)) == 1))
+            .withColumn("__later", F.coalesce(F.max(F.when(F.col("traded"), F.col("bar"))).over(Window.partitionBy("symbol"))
+                                              >= F.col("bar"), F.lit(False))))
 
 
 def build(bars: DataFrame, weekday: str | Column = "SUN", min_bars: int = 5, liquidity_bars: int = 30,

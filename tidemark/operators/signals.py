@@ -5,7 +5,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.columns import clip, div, rolling
+from ..functions.columns import corr, clip, div, rolling
 from .book import _per, inverse_vol
 from .panel import lagged, market_return, own, past
 
@@ -77,7 +77,7 @@ def lines(grid: DataFrame, days: int) -> DataFrame:
     x, y = F.col("bar").cast("double"), F.col("__level")
     enough = (F.count("returns").over(frame) >= need) & (F.count(F.lit(1)).over(frame) == days)
     return (g.withColumn("trail", F.when(F.count("returns").over(frame) >= need, F.sum("returns").over(frame)))
-            .withColumn("corr", F.when(enough & (F.var_samp(y).over(frame) > 0), F.corr(y, x).over(frame)))
+            .withColumn("corr", F.when(enough & (F.var_samp(y).over(frame) > 0), corr(y, x, frame)))
             .withColumn("slope", F.when(enough, div(F.covar_samp(y, x).over(frame), F.var_samp(x).over(frame))))
             .drop("__level"))
 

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import moments as M
-from ..functions.columns import DAY, HOUR, div, micros, rolling
+from ..functions.columns import corr, DAY, HOUR, div, micros, rolling
 from .book import _per
 
 # Periods a year by median spacing.
@@ -84,7 +84,7 @@ def rank_ic(rows: DataFrame, signal: str = "signal", forward: str = "forward", m
     ranked = both.withColumn("__s", average_rank(signal, keys)).withColumn("__f", average_rank(forward, keys))
     out = ranked.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("names"),
-        F.when((F.min("__s") < F.max("__s")) & (F.min("__f") < F.max("__f")), F.corr("__s", "__f")).alias("ic"))
+        F.when((F.min("__s") < F.max("__s")) & (F.min("__f") < F.max("__f")), corr("__s", "__f")).alias("ic"))
     return out.filter((F.col("names") >= min_names) & F.col("ic").isNotNull())
 
 
@@ -135,7 +135,7 @@ def cluster_ols(rows: DataFrame, y: str, xs: Sequence[str], cluster: str) -> Dat
 def pooled_correlation(rows: DataFrame, x: str, y: str, limit: float = 10.0, by: Sequence[str] = ()) -> DataFrame:
     """Correlation over rows with both values inside (-limit, limit), and their count."""
     ok = rows.filter((F.abs(x) < limit) & (F.abs(y) < limit))
-    return ok.groupBy(*by).agg(F.corr(x, y).alias("corr"), F.count(F.lit(1)).alias("n"))
+    return ok.groupBy(*by).agg(corr(x, y).alias("corr"), F.count(F.lit(1)).alias("n"))
 
 
 # Two-sided normal tail shares beyond 2, 3, 4 and 5 spreads.
@@ -207,7 +207,7 @@ def head_to_head(books: DataFrame, base: str) -> DataFrame:
         F.avg(edge).alias("edge"), div(F.avg(edge), F.stddev_samp(edge)).alias("__t"), F.count(F.lit(1)).alias("n"),
         F.avg(F.when(F.col("b") < 0, F.col("r"))).alias("when_base_loses"),
         F.avg(F.when(F.col("b") > 0, F.col("r"))).alias("when_base_wins"),
-        F.corr("r", "b").alias("corr")).withColumn("edge_t", F.col("__t") * F.sqrt("n")).drop("__t")
+        corr("r", "b").alias("corr")).withColumn("edge_t", F.col("__t") * F.sqrt("n")).drop("__t")
 
 
 def past_and_next(panel: DataFrame, lookbacks: Sequence[int], limit_floor: float) -> DataFrame:

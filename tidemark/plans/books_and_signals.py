@@ -57,13 +57,13 @@ w AS (SELECT symbol, width, m // width AS k, sum(price) FILTER (side = 'buy') AS
       FROM base, (VALUES (1), (4), (24)) v(width) WHERE (m // width + 1) * width <= 720 GROUP BY 1, 2, 3),
 s AS (SELECT symbol, width, quantile_cont((bp / bn - sp / sn) / ((bp / bn + sp / sn) / 2), 0.5) AS spread
       FROM w WHERE bn >= 1 AND sn >= 1 GROUP BY 1, 2 HAVING count(*) >= 5)
-SELECT v.symbol, (SELECT min(width) FROM s WHERE s.symbol = v.symbol)::BIGINT AS "window",
+SELECT v.symbol, (SELECT min(width) FROM s WHERE s.symbol = v.symbol)::BIGINT AS width,
        (SELECT arg_min(spread, width) FROM s WHERE s.symbol = v.symbol) * 1e4 / 2 AS half_spread_bps, traded_per_day, trades
 FROM (SELECT symbol, sum(notional) / 30 AS traded_per_day, count(*) AS trades FROM base GROUP BY 1) v"""
 
 
-@query("c2_effective_spread", "symbol window half_spread_bps~6 traded_per_day~6 trades",
-       f'SELECT symbol, "window", half_spread_bps, traded_per_day, trades FROM ({EFFECTIVE})')
+@query("c2_effective_spread", "symbol width half_spread_bps~6 traded_per_day~6 trades",
+       f"SELECT symbol, width, half_spread_bps, traded_per_day, trades FROM ({EFFECTIVE})")
 def _(s, d):
     return C.effective_spread(V.trades(s, d), "2024-01-01", 30, widths=(1, 4, 24), enough=5, sides=1, unit=HOUR)
 
@@ -134,7 +134,7 @@ AR = """SELECT symbol, at - (isodow(at) - 1)::INTEGER AS week_start, 1e4 * sqrt(
   FROM bd WHERE high > 0 AND low > 0 AND close > 0) WHERE term IS NOT NULL GROUP BY 1, 2"""
 
 
-@query("c8_range_spread", "symbol week_start half_spread_bps~5 n_bars", AR)
+@query("c8_range_spread", "symbol week_start half_spread_bps~3 n_bars", AR)
 def _(s, d):
     return C.range_spread(V.bars(s, d))
 

@@ -48,7 +48,7 @@ def oracle(body: str, spec: str | None = None, ctes: dict[str, str] | None = Non
 
     def visit(text):
         for name in known:
-            if name not in need and re.search(rf"\b{name}\b", text):
+            if name not in need and re.search(rf"\b(FROM|JOIN)\s+{name}\b", text):
                 visit(known[name])
                 if name not in need:
                     need.append(name)
