@@ -12,7 +12,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import DAY, micros, rolling, rolling_median
-from .asof import asof_join
 from .grid import with_bar
 
 # Symbol and the day trading resumed at a new denomination, so the gap is not a move.
@@ -71,14 +70,17 @@ def with_funding(bars: DataFrame, prints: DataFrame, every: str = "DAY", at: str
     """bars with funding: each print is paid on the first bar of its coin at or after the bar it falls in.
 
     Prints before a coin's first bar or after its last are dropped; bars
-    without a print pay 0.
+    without a print pay 0. A coin's bars and prints are bounded by the calendar,
+    so one window per coin, read backwards, places them all in one shuffle.
     """
     kind = bars.schema[at].dataType
-    p = last_prints(prints).withColumn("__start", F.date_trunc(every, "t").cast(kind))
-    first = bars.groupBy("symbol").agg(F.min(at).alias("__first"))
-    p = p.join(first, "symbol").filter(F.col("__start") >= F.col("__first"))
-    placed = asof_join(p.select("symbol", "__start", "funding_rate"), bars.select("symbol", at), ["symbol"],
-                       "__start", at, {"__paid": at}, direction="forward", block=366 * DAY)
+    p = last_prints(prints).select("symbol", F.date_trunc(every, "t").cast(kind).alias("__t"), "funding_rate")
+    rows = bars.select("symbol", F.col(at).alias("__t"), F.col(at).alias("__bar")).unionByName(p, allowMissingColumns=True)
+    back = (Window.partitionBy("symbol").orderBy(F.col("__t").desc(), F.col("__bar").desc_nulls_last())
+            .rowsBetween(Window.unboundedPreceding, 0))
+    placed = (rows.withColumn("__paid", F.last("__bar", ignorenulls=True).over(back))
+              .withColumn("__first", F.min("__bar").over(Window.partitionBy("symbol")))
+              .filter(F.col("funding_rate").isNotNull() & (F.col("__t") >= F.col("__first"))))
     paid = (placed.filter(F.col("__paid").isNotNull()).groupBy("symbol", F.col("__paid").alias(at))
             .agg(F.sum("funding_rate").alias("funding")))
     return bars.join(paid, ["symbol", at], "left").withColumn("funding", F.coalesce("funding", F.lit(0.0)))
