@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import DAY, clip, micros
 from .asof import asof_join
-from .ordered import last_seen, previous, running
+from .ordered import last_seen, previous, running, scan
 
 SLOT = ["account", "instrument"]
 # Kinds that set the position mark, in the order they count; only mark bars set the funding mark.
@@ -58,49 +58,57 @@ def current_marks(events: DataFrame, block: int = DAY) -> DataFrame:
                      {"mark": mark, "funding_mark": fmark}).drop("__bar")
 
 
+def _states(fills: DataFrame, marks: DataFrame, funding: DataFrame | None, block: int) -> DataFrame:
+    """(account, instrument, t, dc, rate, position, mark, was_position, was_mark) at every stamp a held instrument has anything.
+
+    Fills, marks and funding prints of one stamp meet in one row, so what settles
+    at a stamp sees the stamp's own fills and mark. Position and mark, before and
+    after, come out of one pass.
+    """
+    fee = F.col("fee") if "fee" in fills.columns else F.lit(0.0)
+    flows = fills.groupBy(*SLOT, "t").agg(F.sum(signed()).alias("dq"), F.sum(-(signed() * F.col("price") + fee)).alias("dc"))
+    news = marks.filter(F.col("kind") == "mark_kline").select("instrument", "t", F.col("price").alias("m"))
+    if funding is not None:
+        news = news.unionByName(funding.select("instrument", "t", "rate"), allowMissingColumns=True)
+    else:
+        news = news.withColumn("rate", F.lit(None).cast("double"))
+    rows = flows.unionByName(news.join(fills.select(*SLOT).distinct(), "instrument"), allowMissingColumns=True)
+    rows = rows.groupBy(*SLOT, "t").agg(F.coalesce(F.sum("dq"), F.lit(0.0)).alias("dq"), F.coalesce(F.sum("dc"), F.lit(0.0)).alias("dc"),
+                                        F.max("m").alias("m"), F.sum("rate").alias("rate"))
+    return scan(rows, SLOT, ["t"], _block(rows, "t", block), sums={"position": F.col("dq")}, lasts={"mark": F.col("m")},
+                before={"was_position": "position", "was_mark": "mark"})
+
+
 def funding_flows(fills: DataFrame, marks: DataFrame, funding: DataFrame, block: int = 32 * DAY) -> DataFrame:
     """(account, instrument, t, rate, position, mark, flow, paid, received) per funding print and holder.
 
-    A print settles on the position and the mark bar before it: fills and marks
-    of the same stamp count. No mark yet means no flow.
+    A print settles on the position, fills of its own stamp included, at the
+    mark bar before it: at one stamp bars come last. No mark yet means no flow.
+    Prints before the holder's first fill are left out.
     """
-    pos = running(fills.groupBy(*SLOT, "t").agg(F.sum(signed()).alias("dq")), SLOT, ["t"],
-                  _block(fills, "t", block), sums={"position": F.col("dq")})
-    priced = asof_join(funding, marks.filter(F.col("kind") == "mark_kline"), ["instrument"], "t", "t", {"mark": "price"}, block=block)
     first = fills.groupBy(*SLOT).agg(F.min("t").alias("__first"))
-    due = priced.join(first, "instrument").filter(F.col("t") >= F.col("__first")).drop("__first")
-    held = asof_join(due, pos, SLOT, "t", "t", {"position": "position"}, block=block)
-    flow = F.coalesce(F.col("position") * F.col("mark") * F.col("rate"), F.lit(0.0))
-    return (held.withColumn("flow", flow).withColumn("paid", F.greatest("flow", F.lit(0.0)))
-            .withColumn("received", F.greatest(-F.col("flow"), F.lit(0.0))))
+    due = (_states(fills, marks, funding, block).filter(F.col("rate").isNotNull())
+           .join(first, SLOT).filter(F.col("t") >= F.col("__first")))
+    flow = F.coalesce(F.col("position") * F.col("was_mark") * F.col("rate"), F.lit(0.0))
+    return (due.select(*SLOT, "t", "rate", "position", F.col("was_mark").alias("mark"), flow.alias("flow"))
+            .withColumn("paid", F.greatest("flow", F.lit(0.0))).withColumn("received", F.greatest(-F.col("flow"), F.lit(0.0))))
 
 
 def equity(fills: DataFrame, marks: DataFrame, funding: DataFrame | None = None, block: int = 32 * DAY) -> DataFrame:
-    """(account, t, cash, value, equity) at every stamp the account trades or one of its instruments is marked.
+    """(account, t, cash, value, equity) at every stamp, from its first fill on, an account trades or an instrument it holds moves.
 
     Each (account, instrument) yields the change of its marked value, and one
     running sum per account adds them up, so there is no account by
     instrument by time product beyond the marks of held instruments.
     """
-    fee = F.col("fee") if "fee" in fills.columns else F.lit(0.0)
-    flows = fills.groupBy(*SLOT, "t").agg(F.sum(signed()).alias("dq"), F.sum(-(signed() * F.col("price") + fee)).alias("dc"))
-    first = flows.groupBy(*SLOT).agg(F.min("t").alias("__first"))
-    ticks = (marks.select("instrument", "t", "price").join(first, "instrument").filter(F.col("t") >= F.col("__first"))
-             .select(*SLOT, "t", F.col("price").alias("mark")))
-    opening = asof_join(first.withColumnRenamed("__first", "t"), marks, ["instrument"], "t", "t", {"mark": "price"}, block=block)
-    rows = (flows.unionByName(ticks, allowMissingColumns=True).unionByName(opening, allowMissingColumns=True))
-    if funding is not None:
-        paid = funding_flows(fills, marks, funding, block).select(*SLOT, "t", (-F.col("flow")).alias("dc"))
-        rows = rows.unionByName(paid, allowMissingColumns=True)
-    rows = rows.groupBy(*SLOT, "t").agg(F.coalesce(F.sum("dq"), F.lit(0.0)).alias("dq"),
-                                        F.coalesce(F.sum("dc"), F.lit(0.0)).alias("dc"), F.max("mark").alias("mark"))
-    where = lambda d: _block(d, "t", block)
-    rows = running(rows, SLOT, ["t"], where(rows), sums={"position": F.col("dq")})
-    rows = last_seen(rows, SLOT, ["t"], where(rows), {"mark": F.col("mark")})
-    rows = rows.withColumn("value", F.coalesce(F.col("position") * F.col("mark"), F.lit(0.0)))
-    rows = previous(rows, SLOT, ["t"], where(rows), {"__was": F.col("value")})
-    change = rows.groupBy("account", "t").agg(F.sum(F.col("value") - F.coalesce("__was", F.lit(0.0))).alias("dv"), F.sum("dc").alias("dc"))
-    out = running(change, ["account"], ["t"], where(change), sums={"cash": F.col("dc"), "value": F.col("dv")})
+    z = lambda q, m: F.coalesce(F.col(q) * F.col(m), F.lit(0.0))
+    st = _states(fills, marks, funding, block)
+    paid = F.coalesce(z("position", "was_mark") * F.col("rate"), F.lit(0.0))
+    change = st.groupBy("account", "t").agg(F.sum(z("position", "mark") - z("was_position", "was_mark")).alias("dv"),
+                                            F.sum(F.col("dc") - paid).alias("dc"))
+    out = running(change, ["account"], ["t"], _block(change, "t", block), sums={"cash": F.col("dc"), "value": F.col("dv")})
+    first = fills.groupBy("account").agg(F.min("t").alias("__first"))
+    out = out.join(first, "account").filter(F.col("t") >= F.col("__first"))
     return out.select("account", "t", "cash", "value", (F.col("cash") + F.col("value")).alias("equity"))
 
 

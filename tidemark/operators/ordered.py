@@ -14,78 +14,62 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 BLOCK = "__block"
 
 
-def _keys(keys: Sequence[str]) -> list[str]:
-    return list(keys)
-
-
-def _over_blocks(keys, inclusive=False):
-    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(BLOCK)
-    return w.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-
-
-def _within(keys, order, last=0):
-    return (Window.partitionBy(*keys, BLOCK).orderBy(*order)
-            .rowsBetween(Window.unboundedPreceding, last))
+def scan(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], block: Column,
+         sums: dict[str, Column] | None = None, maxes: dict[str, Column] | None = None,
+         lasts: dict[str, Column] | None = None, before: dict[str, str] | None = None) -> DataFrame:
+    """Adds any number of running values per key in order, in one pass: sums, maxima and last non-null values.
+
+    Each covers the rows up to and including its own. before maps a new column
+    to one of them, taken over the rows before instead. A sum over nothing is 0,
+    a maximum or last value NULL. The input is read twice, once for the block
+    ends and once for the rows, so an expensive one is stored first
+    (session.settle), and values are asked for together rather than in turn.
+    """
+    keys, sums, maxes, lasts, before = list(keys), sums or {}, maxes or {}, lasts or {}, before or {}
+    kinds = {**{n: "sum" for n in sums}, **{n: "max" for n in maxes}, **{n: "last" for n in lasts}}
+    rows = df.withColumns({BLOCK: block, **{f"__x_{n}": e for n, e in {**sums, **maxes, **lasts}.items()}})
+    rank = F.struct(*[F.col(c) if isinstance(c, str) else c for c in order])
+    end = {"sum": lambda x: F.sum(x), "max": lambda x: F.max(x),
+           "last": lambda x: F.max_by(x, F.when(F.col(x).isNotNull(), rank))}
+    ends = rows.groupBy(*keys, BLOCK).agg(*[end[k](f"__x_{n}").alias(f"__e_{n}") for n, k in kinds.items()])
+    past = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    over = {"sum": lambda x, w: F.coalesce(F.sum(x).over(w), F.lit(0)), "max": lambda x, w: F.max(x).over(w),
+            "last": lambda x, w: F.last(x, ignorenulls=True).over(w)}
+    carried = ends.select(*keys, BLOCK, *[over[k](f"__e_{n}", past).alias(f"__c_{n}") for n, k in kinds.items()])
+    w = Window.partitionBy(*keys, BLOCK).orderBy(*order)
+    upto, prior = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    local = {n: over[k](f"__x_{n}", upto) for n, k in kinds.items()}
+    local |= {b: over[kinds[n]](f"__x_{n}", prior) for b, n in before.items()}
+    out = rows.withColumns({f"__l_{n}": e for n, e in local.items()}).join(carried, [*keys, BLOCK])
+    join = {"sum": lambda a, c: F.col(a) + F.col(c), "max": lambda a, c: F.greatest(a, c), "last": lambda a, c: F.coalesce(a, c)}
+    made = {**{n: n for n in kinds}, **before}
+    return out.select(*[F.col(c) for c in df.columns if c not in made],
+                      *[join[kinds[n]](f"__l_{name}", f"__c_{n}").alias(name) for name, n in made.items()])
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], block: Column,
             sums: dict[str, Column] | None = None, maxes: dict[str, Column] | None = None,
             exclusive: bool = False) -> DataFrame:
-    """Adds running sums and maxima of expressions per key in order.
-
-    exclusive leaves the row itself out. A sum over nothing is 0, a maximum over
-    nothing NULL.
-    """
-    keys, sums, maxes = _keys(keys), sums or {}, maxes or {}
-    rows = df.withColumn(BLOCK, block)
-    for n, e in {**sums, **maxes}.items():
-        rows = rows.withColumn(f"__x_{n}", e)
-    totals = rows.groupBy(*keys, BLOCK).agg(
-        *[F.sum(f"__x_{n}").alias(f"__t_{n}") for n in sums],
-        *[F.max(f"__x_{n}").alias(f"__t_{n}") for n in maxes])
-    before = totals.select(
-        *keys, BLOCK,
-        *[F.coalesce(F.sum(f"__t_{n}").over(_over_blocks(keys)), F.lit(0)).alias(f"__b_{n}") for n in sums],
-        *[F.max(f"__t_{n}").over(_over_blocks(keys)).alias(f"__b_{n}") for n in maxes])
-    w = _within(keys, order, -1 if exclusive else 0)
-    out = rows
-    for n in sums:
-        out = out.withColumn(f"__x_{n}", F.coalesce(F.sum(f"__x_{n}").over(w), F.lit(0)))
-    for n in maxes:
-        out = out.withColumn(f"__x_{n}", F.max(f"__x_{n}").over(w))
-    out = out.join(before, [*keys, BLOCK])
-    return out.select(
-        *[F.col(c) for c in df.columns if c not in sums and c not in maxes],
-        *[(F.col(f"__x_{n}") + F.col(f"__b_{n}")).alias(n) for n in sums],
-        *[F.greatest(f"__x_{n}", f"__b_{n}").alias(n) for n in maxes])
+    """Adds running sums and maxima per key in order; exclusive leaves the row itself out."""
+    if not exclusive:
+        return scan(df, keys, order, block, sums, maxes)
+    names = [*(sums or {}), *(maxes or {})]
+    hidden = lambda d: {f"__in_{n}": e for n, e in (d or {}).items()}
+    out = scan(df, keys, order, block, hidden(sums), hidden(maxes), before={n: f"__in_{n}" for n in names})
+    return out.drop(*[f"__in_{n}" for n in names])
 
 
 def last_seen(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], block: Column,
-              values: dict[str, Column], inclusive: bool = True) -> DataFrame:
-    """Adds, per key in order, each expression's last non-null value at or (not inclusive) before the row."""
-    keys = _keys(keys)
-    rows = df.withColumn(BLOCK, block)
-    for n, e in values.items():
-        rows = rows.withColumn(f"__x_{n}", e)
-    rank = F.struct(*[F.col(c) if isinstance(c, str) else c for c in order])
-    ends = rows.groupBy(*keys, BLOCK).agg(
-        *[F.max_by(f"__x_{n}", F.when(F.col(f"__x_{n}").isNotNull(), rank)).alias(f"__e_{n}") for n in values])
-    carried = ends.select(
-        *keys, BLOCK, *[F.last(f"__e_{n}", ignorenulls=True).over(_over_blocks(keys)).alias(f"__c_{n}") for n in values])
-    w = _within(keys, order, 0 if inclusive else -1)
-    out = rows
-    for n in values:
-        out = out.withColumn(f"__x_{n}", F.last(f"__x_{n}", ignorenulls=True).over(w))
-    out = out.join(carried, [*keys, BLOCK])
-    return out.select(*[F.col(c) for c in df.columns if c not in values],
-                      *[F.coalesce(f"__x_{n}", f"__c_{n}").alias(n) for n in values])
+              values: dict[str, Column]) -> DataFrame:
+    """Adds, per key in order, each expression's last non-null value at or before the row."""
+    return scan(df, keys, order, block, lasts=values)
 
 
 def previous(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], block: Column,
              values: dict[str, Column]) -> DataFrame:
     """Adds each expression's value on the key's row before, NULL values kept as NULL."""
-    packed = last_seen(df, keys, order, block,
-                       {"__prev": F.struct(*[e.alias(n) for n, e in values.items()])}, inclusive=False)
+    packed = scan(df, keys, order, block, lasts={"__here": F.struct(*[e.alias(n) for n, e in values.items()])},
+                  before={"__prev": "__here"})
     return packed.select(*[F.col(c) for c in df.columns if c not in values],
                          *[F.col(f"__prev.{n}").alias(n) for n in values])
 

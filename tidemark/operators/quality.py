@@ -121,7 +121,7 @@ def reconcile(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str) -> Da
     j = (a.select(*keys, F.col(value).alias("__a"), F.lit(1).alias("__ia"))
          .join(b.select(*keys, F.col(value).alias("__b"), F.lit(1).alias("__ib")), list(keys), "full_outer"))
     return j.agg(F.count_if(F.col("__ib").isNull()).alias("left_only"), F.count_if(F.col("__ia").isNull()).alias("right_only"),
-                 F.count_if(F.col("__ia").isNotNull() & F.col("__ib").isNotNull()).alias("both"),
+                 F.count_if(F.col("__ia").isNotNull() & F.col("__ib").isNotNull()).alias("shared"),
                  F.max(F.abs(F.col("__a") / F.col("__b") - 1)).alias("max_gap"))
 
 

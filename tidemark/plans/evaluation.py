@@ -31,16 +31,16 @@ def _(s, d):
 
 
 @query("m2_comovement", "period comove~6", f"""
-WITH z AS (SELECT symbol, period, CASE WHEN liquidity >= {FLOOR} THEN returns END / nullif(vol, 0) AS z FROM panel),
+WITH z AS (SELECT symbol, period, CASE WHEN liquidity >= 0 THEN returns END / nullif(vol, 0) AS z FROM panel),
 p AS (SELECT DISTINCT period FROM panel),
 win AS (SELECT p.period AS pe, z.symbol, z.period AS q, z.z FROM p JOIN z ON z.period < p.period AND z.period >= p.period - 84 AND z.z IS NOT NULL),
-ok AS (SELECT pe, symbol FROM win GROUP BY 1, 2 HAVING count(*) >= 6),
-n AS (SELECT pe, count(*) AS n FROM ok GROUP BY 1 HAVING count(*) >= 6),
+ok AS (SELECT pe, symbol FROM win GROUP BY 1, 2 HAVING count(*) >= 3),
+n AS (SELECT pe, count(*) AS n FROM ok GROUP BY 1 HAVING count(*) >= 3),
 pairs AS (SELECT a.pe, corr(a.z, b.z) AS c, stddev_pop(a.z) AS sa, stddev_pop(b.z) AS sb FROM win a JOIN win b ON a.pe = b.pe AND a.q = b.q AND a.symbol < b.symbol
   JOIN ok x ON x.pe = a.pe AND x.symbol = a.symbol JOIN ok y ON y.pe = a.pe AND y.symbol = b.symbol GROUP BY a.pe, a.symbol, b.symbol)
-SELECT n.pe AS period, coalesce(sum(CASE WHEN sa > 0 AND sb > 0 THEN 2 * c END), 0) / (any_value(n) * (any_value(n) - 1)) AS comove FROM n LEFT JOIN pairs ON pairs.pe = n.pe GROUP BY 1""")
+SELECT n.pe AS period, coalesce(sum(CASE WHEN sa > 0 AND sb > 0 THEN 2 * c END), 0) / (any_value(n) * (any_value(n) - 1)) AS comove FROM n LEFT JOIN pairs ON pairs.pe = n.pe GROUP BY 1""", ctes={"pa": CTES["pa"].replace(">= 2 THEN sum(returns)", ">= 1 THEN sum(returns)")})
 def _(s, d):
-    return M.comovement(panel(s, d), FLOOR, window=12, least=6)
+    return M.comovement(panel(s, d, min_bars=1), 0.0, window=12, least=3)
 
 
 CONDITIONS = f"""
@@ -129,7 +129,7 @@ def _(s, d):
     return M.crosstab(book, c.filter(F.col("condition") == "market_vol"), c.filter(F.col("condition") == "funding"))
 
 
-@query("m6_walk_forward_conditions", "t fold cell r~8 on", """
+@query("m6_walk_forward_conditions", "t fold cell r~8 live", """
 WITH idx AS (SELECT period, row_number() OVER (ORDER BY period) - 1 AS i, count(*) OVER () AS n FROM book),
 gb AS (SELECT c.cell, i.period, i.i, i.n, CASE WHEN k.cell IS NOT NULL THEN b.net ELSE 0 END AS r, k.cell IS NOT NULL AS live
   FROM (SELECT DISTINCT cell FROM cells) c, idx i JOIN book b ON b.period = i.period LEFT JOIN cells k ON k.cell = c.cell AND k.period = i.period),
@@ -137,7 +137,7 @@ f AS (SELECT k AS fold, floor(k * ((n - 104) / 4.0::DOUBLE) + 104.0)::BIGINT AS
   FROM range(4) t(k), (SELECT DISTINCT n FROM idx)),
 sc AS (SELECT fold, lo, hi, cell, avg(r) / nullif(stddev_pop(r), 0) AS s FROM gb, f WHERE i < lo AND live GROUP BY 1, 2, 3, 4 HAVING count(*) >= 15),
 pk AS (SELECT fold, lo, hi, arg_max(cell, s) AS cell FROM sc WHERE s IS NOT NULL GROUP BY 1, 2, 3)
-SELECT gb.period AS t, fold, gb.cell, r, live AS "on" FROM gb JOIN pk ON pk.cell = gb.cell AND i >= lo AND i < hi""", ctes=CELLS)
+SELECT gb.period AS t, fold, gb.cell, r, live FROM gb JOIN pk ON pk.cell = gb.cell AND i >= lo AND i < hi""", ctes=CELLS)
 def _(s, d):
     p = stored_panel(s, d)
     book = settle(K.run(trend_weights(s, d, p=p), FLAT).select(F.col("period").alias("t"), F.col("net").alias("r")))
@@ -148,7 +148,7 @@ def _(s, d):
     every = book.withColumn("book_id", F.explode(names))
     live = c.select(F.col("cell").alias("book_id"), "t", F.lit(1.0).alias("__on"))
     gated = every.join(live, ["book_id", "t"], "left").withColumn("r", F.col("r") * F.coalesce("__on", F.lit(0.0))).drop("__on")
-    return M.walk_forward_conditions(gated, c, folds=4, history=104, min_on=15)
+    return M.walk_forward_conditions(gated, c, folds=4, history=104, min_on=15).withColumnRenamed("on", "live")
 
 
 @query("m8_window_sums", "book_id span total~8 periods", """

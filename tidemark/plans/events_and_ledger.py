@@ -165,7 +165,7 @@ LEDGER = {
     "posd": f"""SELECT account, instrument, t, sum(dq) OVER (PARTITION BY account, instrument ORDER BY t) AS position FROM (
   SELECT account, instrument, t, sum({SIGN} * qty) AS dq FROM fills GROUP BY 1, 2, 3)""",
     "flows": """SELECT f.account, n.instrument, n.t, n.rate, p.position, n.mark, coalesce(p.position * n.mark * n.rate, 0) AS flow
-FROM (SELECT n.*, m.price AS mark FROM nfunding n ASOF LEFT JOIN marks m ON m.instrument = n.instrument AND m.t <= n.t) n
+FROM (SELECT n.*, m.price AS mark FROM nfunding n ASOF LEFT JOIN marks m ON m.instrument = n.instrument AND m.t < n.t) n
 JOIN (SELECT account, instrument, min(t) AS first FROM fills GROUP BY 1, 2) f ON f.instrument = n.instrument AND n.t >= f.first
 ASOF LEFT JOIN posd p ON p.account = f.account AND p.instrument = n.instrument AND p.t <= n.t""",
 }
@@ -200,17 +200,18 @@ def _(s, d):
 
 EQUITY = {**LEDGER,
           "ev": f"""SELECT account, instrument, t, sum({SIGN} * qty) AS dq, sum(-({SIGN} * qty * price + fee)) AS dc, NULL::DOUBLE AS mark FROM fills GROUP BY 1, 2, 3
-UNION ALL SELECT f.account, m.instrument, m.t, 0, 0, m.price FROM marks m JOIN (SELECT account, instrument, min(t) AS first FROM fills GROUP BY 1, 2) f ON f.instrument = m.instrument AND m.t >= f.first
-UNION ALL SELECT f.account, f.instrument, f.first, 0, 0, m.price FROM (SELECT account, instrument, min(t) AS first FROM fills GROUP BY 1, 2) f ASOF JOIN marks m ON m.instrument = f.instrument AND m.t <= f.first
+UNION ALL SELECT f.account, m.instrument, m.t, 0, 0, m.price FROM marks m JOIN (SELECT DISTINCT account, instrument FROM fills) f ON f.instrument = m.instrument
+UNION ALL SELECT f.account, n.instrument, n.t, 0, 0, NULL FROM nfunding n JOIN (SELECT DISTINCT account, instrument FROM fills) f ON f.instrument = n.instrument
 UNION ALL SELECT account, instrument, t, 0, -flow, NULL FROM flows""",
           "st": """SELECT *, coalesce(pos * mk, 0) AS value FROM (SELECT account, instrument, t, dc, sum(dq) OVER w AS pos, last_value(mark IGNORE NULLS) OVER w AS mk FROM (
   SELECT account, instrument, t, sum(dq) AS dq, sum(dc) AS dc, max(mark) AS mark FROM ev GROUP BY 1, 2, 3) WINDOW w AS (PARTITION BY account, instrument ORDER BY t ROWS UNBOUNDED PRECEDING))""",
-          "eq": """SELECT account, t, sum(c) OVER (PARTITION BY account ORDER BY t) AS cash, sum(v) OVER (PARTITION BY account ORDER BY t) AS value FROM (
-  SELECT account, t, sum(dc) AS c, sum(dv) AS v FROM (SELECT account, t, dc, value - coalesce(lag(value) OVER (PARTITION BY account, instrument ORDER BY t), 0) AS dv FROM st) GROUP BY 1, 2)"""}
+          "eq": """SELECT * FROM (SELECT account, t, sum(c) OVER (PARTITION BY account ORDER BY t) AS cash, sum(v) OVER (PARTITION BY account ORDER BY t) AS value FROM (
+  SELECT account, t, sum(dc) AS c, sum(dv) AS v FROM (SELECT account, t, dc, value - coalesce(lag(value) OVER (PARTITION BY account, instrument ORDER BY t), 0) AS dv FROM st) GROUP BY 1, 2)) e
+WHERE t >= (SELECT min(t) FROM fills WHERE fills.account = e.account)"""}
 
 
 def equity(s, d):
-    return L.equity(V.fills(s, d), settle(V.marks(s, d)), V.nation_funding(s, d))
+    return L.equity(V.fills(s, d), V.marks(s, d), V.nation_funding(s, d))
 
 
 @query("l5_equity", "account t cash~2 value~2 equity~2", "SELECT account, t, cash, value, cash + value AS equity FROM eq", ctes=EQUITY)
