@@ -160,6 +160,43 @@ def _(s, d):
     return e.select("event_id", X.integer(i).alias("i"), X.decimal(v).alias("d"), X.boolean(b).alias("b"))
 
 
+def zip_archive(s, d):
+    """The kline lines as one zip per brand and year in the shared folder, written by the tasks that hold them."""
+    root = f"{shared_dir(s)}/tidemark/zips-{uuid.uuid4().hex}"
+    raw = kline_lines(s, d).withColumn("name", F.concat("symbol", F.lit("-1d-"), F.substring(F.regexp_extract("file", r"([0-9]{4}-[0-9]{2})", 1), 1, 4), F.lit("-01.zip")))
+    ordered = raw.repartition("name").sortWithinPartitions("name", "file", "pos").select("name", "line")
+
+    def pack(batches):
+        import io
+        import itertools
+        import zipfile
+
+        import pandas as pd
+        from pyarrow import fs
+        files, base = (fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root.removeprefix("file:")))
+        files.create_dir(base)
+        rows = ((n, l) for b in batches for n, l in zip(b["name"], b["line"]))
+        for name, group in itertools.groupby(rows, key=lambda r: r[0]):
+            # Rewriting a file on a retried task gives the same file.
+            with files.open_output_stream(f"{base}/{name}") as out:
+                buffer = io.BytesIO()
+                with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z, z.open(name.replace(".zip", ".csv"), "w") as f:
+                    for _, line in group:
+                        f.write(line.encode() + b"\r\n")
+                out.write(buffer.getvalue())
+            yield pd.DataFrame({"name": [name]})
+
+    ordered.mapInPandas(pack, "name string").write.format("noop").mode("overwrite").save()
+    return root
+
+
+@query("s12_zipped_klines", "symbol open_time_ns ts_ns close~6 volume~4",
+       "SELECT symbol, epoch_ns(at::TIMESTAMP) AS open_time_ns, epoch_ns(at::TIMESTAMP) + 86399999000000 AS ts_ns, close, volume FROM bd WHERE day(at) <> 13")
+def _(s, d):
+    raw = A.with_stream(A.zipped_lines(s, zip_archive(s, d)))
+    return A.read_klines(raw, "usdm").filter(F.col("status") == "parsed")
+
+
 @query("s13_file_pruning", "file", """
 SELECT DISTINCT 'klines/' || symbol || '-1d-' || strftime(at, '%Y-%m') || '.csv' AS file FROM bd WHERE at >= DATE '1997-03-01' AND at < DATE '1997-06-01'""")
 def _(s, d):

@@ -72,36 +72,50 @@ def interval_seconds(interval: Column) -> Column:
     return F.coalesce(n * width, F.lit(0)).cast("bigint")
 
 
-def classify(raw: DataFrame, fields: dict[str, Column], valid: Column, ts: Column) -> DataFrame:
-    """raw with typed fields, ts_ns and status. valid decides parsed or rejected for rows that are neither blank nor header."""
+def classify(raw: DataFrame, pattern: str, fields: dict[str, Column], ts: str, epochs: Sequence[str] = (),
+             extra: Column | None = None, optional: Sequence[str] = ()) -> DataFrame:
+    """raw with typed fields, ts_ns and status: parsed or rejected, header or blank.
+
+    pattern judges a row's shape in one pass, so fields are plain casts. ts names
+    the field that stamps the row; epochs are raw stamps scaled to nanoseconds.
+    extra is a condition over the typed fields. Each step is its own small
+    projection, which keeps the generated code within what the JVM compiles.
+    """
+    v = lambda n: F.col(f"__v_{n}")
+    typed = raw.withColumn("__f", F.split("line", ",")).withColumns({f"__v_{n}": e for n, e in fields.items()})
+    ok = F.rlike("line", F.lit(pattern))
+    for n in fields:
+        if n not in optional:
+            ok = ok & v(n).isNotNull()
+    for n in epochs:
+        ok = ok & X.stamp_ok(v(n))
+    if extra is not None:
+        ok = ok & extra
     head = F.substring(F.col("line"), 1, 1)
-    status = (F.when(F.col("line") == "", "blank").when(~F.rlike(head, F.lit("^[0-9]$")), "header")
-              .when(F.coalesce(valid, F.lit(False)), "parsed").otherwise("rejected"))
-    typed = raw.withColumn("__f", F.split("line", ",")).withColumns({"__ts": ts, **{f"__v_{n}": e for n, e in fields.items()}})
-    typed = typed.withColumn("status", status)
+    judged = typed.withColumn("status", F.when(F.col("line") == "", "blank").when(~head.between("0", "9"), "header")
+                              .when(F.coalesce(ok, F.lit(False)), "parsed").otherwise("rejected"))
     good = F.col("status") == "parsed"
-    return typed.select(*raw.columns, "status", F.when(good, F.col("__ts")).alias("ts_ns"),
-                        *[F.when(good, F.col(f"__v_{n}")).alias(n) for n in fields])
+    value = lambda n: F.when(good, X.scaled(v(n)) if n in epochs else v(n))
+    return judged.select(*raw.columns, "status", value(ts).alias("ts_ns"), *[value(n).alias(n) for n in fields if n != ts])
 
 
-def _f(i: int) -> Column:
-    return F.get("__f", i)
+def _f(i: int, kind: str = "double") -> Column:
+    return F.get("__f", i).try_cast(kind)
 
 
-def _all(*values: Column) -> Column:
-    out = F.lit(True)
-    for v in values:
-        out = out & v.isNotNull()
-    return out
+def _v(name: str) -> Column:
+    return F.col(f"__v_{name}")
 
 
 def read_klines(raw: DataFrame, market: str = "usdm", volume: bool = True) -> DataFrame:
     """Klines stamped at their close; volume is in base units on every market. volume=False gives mark and premium klines."""
-    prices = {n: X.decimal(_f(i)) for i, n in enumerate(KLINE_COLUMNS) if 1 <= i <= 4}
-    base = X.decimal(_f(VOLUME_COLUMN[market] if volume else 5))
-    open_ns, close_ns = X.epoch_ns(_f(0)), X.epoch_ns(_f(6))
-    out = {"open_time_ns": open_ns, **prices, **({"volume": base} if volume else {})}
-    return classify(raw, out, _all(open_ns, *prices.values(), X.decimal(_f(5)), close_ns, base), close_ns)
+    at = VOLUME_COLUMN[market] if volume else 5
+    shape = [X.DIGITS, *[X.DECIMAL] * 5, X.DIGITS] + [X.DECIMAL] * (at - 6)
+    fields = {"open_time_ns": _f(0, "bigint"), **{n: _f(i) for i, n in enumerate(KLINE_COLUMNS) if 1 <= i <= 4}}
+    if volume:
+        fields["volume"] = _f(at)
+    fields["close_time_ns"] = _f(6, "bigint")
+    return classify(raw, X.row(*shape, rest=True), fields, "close_time_ns", ("open_time_ns", "close_time_ns"))
 
 
 def read_mark_klines(raw: DataFrame) -> DataFrame:
@@ -114,8 +128,8 @@ def read_premium_klines(raw: DataFrame) -> DataFrame:
 
 
 def read_funding(raw: DataFrame) -> DataFrame:
-    t, hours, rate = X.epoch_ns(_f(0)), X.integer(_f(1)), X.decimal(_f(2))
-    return classify(raw, {"interval_hours": hours, "funding_rate": rate}, _all(t, hours, rate) & (hours > 0), t)
+    fields = {"t": _f(0, "bigint"), "interval_hours": _f(1, "bigint"), "funding_rate": _f(2)}
+    return classify(raw, X.row(X.DIGITS, X.INTEGER, X.DECIMAL, rest=True), fields, "t", ("t",), _v("interval_hours") > 0)
 
 
 METRICS = ("toptrader_account_ratio", "toptrader_position_ratio", "account_long_short_ratio", "taker_long_short_volume_ratio")
@@ -123,23 +137,21 @@ METRICS = ("toptrader_account_ratio", "toptrader_position_ratio", "account_long_
 
 def read_metrics(raw: DataFrame) -> DataFrame:
     """Open interest samples: the two figures are mandatory, the four ratios may be blank."""
-    t, oi, value = X.datetime_ns(_f(0)), X.decimal(_f(2)), X.decimal(_f(3))
-    ratios = {n: X.decimal(_f(4 + i)) for i, n in enumerate(METRICS)}
-    ok = _all(t, oi, value) & (F.length(_f(1)) > 0)
-    for i, v in enumerate(ratios.values()):
-        ok = ok & (v.isNotNull() | (F.coalesce(_f(4 + i), F.lit("")) == ""))
-    return classify(raw, {"open_interest": oi, "open_interest_value": value, **ratios}, ok, t)
+    fields = {"t": X.read_datetime(F.get("__f", 0)), "open_interest": _f(2), "open_interest_value": _f(3),
+              **{n: _f(4 + i) for i, n in enumerate(METRICS)}}
+    pattern = X.row(X.DATETIME, "[^,]+", X.DECIMAL, X.DECIMAL, optional=4, then=X.DECIMAL)
+    return classify(raw, pattern.removesuffix("$") + "(?:,.*)?$", fields, "t", optional=METRICS)
 
 
 def read_agg_trades(raw: DataFrame, market: str = "usdm") -> DataFrame:
     """Aggregated trades; side is the taker's. Width is exact: eight columns on spot, else seven."""
-    ids = {"id": X.integer(_f(0)), "first_trade_id": X.integer(_f(3)), "last_trade_id": X.integer(_f(4))}
-    price, qty, t, maker = X.decimal(_f(1)), X.decimal(_f(2)), X.epoch_ns(_f(5)), X.boolean(_f(6))
-    ok = _all(*ids.values(), price, qty, t, maker) & (F.size("__f") == (8 if market == "spot" else 7))
-    if market == "spot":
-        ok = ok & X.boolean(_f(7)).isNotNull()
-    ok = ok & (price > 0) & (qty > 0) & (ids["id"] >= 0) & (ids["first_trade_id"] >= 0) & (ids["last_trade_id"] >= ids["first_trade_id"])
-    return classify(raw, {**ids, "price": price, "qty": qty, "side": F.when(maker, "sell").otherwise("buy")}, ok, t)
+    shape = [X.INTEGER, X.DECIMAL, X.DECIMAL, X.INTEGER, X.INTEGER, X.DIGITS, X.BOOLEAN] + [X.BOOLEAN] * (market == "spot")
+    maker = F.get("__f", 6).isin("true", "True")
+    fields = {"t": _f(5, "bigint"), "id": _f(0, "bigint"), "first_trade_id": _f(3, "bigint"), "last_trade_id": _f(4, "bigint"),
+              "price": _f(1), "qty": _f(2), "side": F.when(maker, "sell").otherwise("buy")}
+    ok = ((_v("price") > 0) & (_v("qty") > 0) & (_v("id") >= 0) & (_v("first_trade_id") >= 0)
+          & (_v("last_trade_id") >= _v("first_trade_id")))
+    return classify(raw, X.row(*shape), fields, "t", ("t",), ok)
 
 
 def read_book_depth(raw: DataFrame) -> DataFrame:
@@ -156,10 +168,10 @@ def read_book_depth(raw: DataFrame) -> DataFrame:
     w = Window.partitionBy("file").orderBy("pos")
     new = F.coalesce(F.lag("__lead").over(w) != F.col("__lead"), F.lit(True)).cast("int")
     body = body.withColumn("__new", new).withColumn("run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    t, pct, depth, notional = X.datetime_ns(_f(0)), X.decimal(_f(1)), X.decimal(_f(2)), X.decimal(_f(3))
-    hundredths = F.round(pct * 100, 0).cast("bigint")
-    body = body.withColumns({"__t": t, "__h": hundredths, "__ok": F.coalesce(_all(t, pct, depth, notional) & (F.size("__f") == 4), F.lit(False)),
-                             "depth": depth, "notional": notional})
+    shape = F.rlike("line", F.lit(X.row(X.DATETIME, X.DECIMAL, X.DECIMAL, X.DECIMAL)))
+    body = body.withColumns({"__t": X.read_datetime(F.get("__f", 0)), "__p": _f(1), "depth": _f(2), "notional": _f(3), "__w": shape})
+    body = body.withColumn("__h", F.when(F.abs("__p") < 1e6, F.round(F.col("__p") * 100, 0)).cast("bigint"))
+    body = body.withColumn("__ok", F.col("__w") & F.col("__t").isNotNull() & F.col("__h").isNotNull() & F.col("depth").isNotNull() & F.col("notional").isNotNull())
     inner = F.col("__h").isin(20, -20)
     whole = (~inner) & (F.pmod("__h", F.lit(100)) == 0) & F.col("__h").between(-500, 500) & (F.col("__h") != 0)
     g = body.groupBy("stream", "file", "run").agg(
@@ -169,6 +181,7 @@ def read_book_depth(raw: DataFrame) -> DataFrame:
         # A run that is a sample has ten bands; longer ones are rejected, so only those of each side's five are kept.
         F.array_sort(F.collect_set(F.when(whole & (F.col("__h") < 0), F.struct((-F.col("__h")).alias("h"), "depth", "notional")))).alias("__b"),
         F.array_sort(F.collect_set(F.when(whole & (F.col("__h") > 0), F.struct(F.col("__h").alias("h"), "depth", "notional")))).alias("__a"))
+    # Judged on the run as a whole.
     ok = (F.col("__all") & (F.col("__lo") == F.col("__hi")) & (F.col("__bands") == 10)
           & F.col("__inner").isin(0, 2) & (F.col("__sides") == F.col("__inner")) & (F.col("rows") == 10 + F.col("__inner")))
     ok = F.coalesce(ok, F.lit(False))

@@ -1,6 +1,8 @@
-"""A batch source over zip archives holding one CSV each: one input partition per file."""
+"""A batch source over zip archives holding one CSV each: one input partition per file, on any Arrow file system."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
@@ -10,24 +12,34 @@ class _File(InputPartition):
         self.path = path
 
 
+def _open(uri: str):
+    from pyarrow import fs
+    if "://" not in uri and not uri.startswith("file:"):
+        return fs.LocalFileSystem(), uri
+    return fs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:", "file://", 1))
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options):
-        self.path, self.first, self.last = options["path"], options.get("first", ""), options.get("last", "~")
+        self.uri, self.first, self.last = options["path"], options.get("first", ""), options.get("last", "~")
 
     def partitions(self):
-        import glob
-        import os
-        import re
-        root = self.path.removeprefix("file:")
-        names = sorted(glob.glob(os.path.join(root, "**", "*.zip"), recursive=True)) if os.path.isdir(root) else [root]
+        from pyarrow import fs
+        files, root = _open(self.uri)
+        if files.get_file_info(root).type == fs.FileType.Directory:
+            names = [i.path for i in files.get_file_info(fs.FileSelector(root, recursive=True)) if i.path.endswith(".zip")]
+        else:
+            names = [root]
         stamp = lambda n: (re.findall(r"(\d{4}-\d{2}(?:-\d{2})?)\.zip$", n) or [""])[0]
-        return [_File(n) for n in names if self.first <= stamp(n) <= self.last]
+        # Files outside the wanted span are never opened.
+        return [_File(n) for n in sorted(names) if self.first <= stamp(n) <= self.last]
 
     def read(self, partition):
         import io
         import zipfile
+        files, _ = _open(self.uri)
         # Streams the entry line by line, so a file larger than a task's memory still reads.
-        with zipfile.ZipFile(partition.path) as z:
+        with files.open_input_file(partition.path) as raw, zipfile.ZipFile(raw) as z:
             entry = next((n for n in z.namelist() if n.endswith(".csv")), None)
             if entry is None:
                 return
@@ -37,7 +49,7 @@ class _Reader(DataSourceReader):
 
 
 class ZippedCsv(DataSource):
-    """format("zipped_csv").load(path), options first and last prune files by the stamp in their names."""
+    """format("zipped_csv").load(path); options first and last prune files by the stamp in their names."""
 
     @classmethod
     def name(cls):
