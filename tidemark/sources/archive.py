@@ -78,12 +78,14 @@ def classify(raw: DataFrame, pattern: str, fields: dict[str, Column], ts: str, e
 
     pattern judges a row's shape in one pass, so fields are plain casts. ts names
     the field that stamps the row; epochs are raw stamps scaled to nanoseconds.
-    extra is a condition over the typed fields. Each step is its own small
-    projection, which keeps the generated code within what the JVM compiles.
+    extra is a condition over the typed fields. Fields come out of a generator
+    of one row: a filter on status is not pushed below it, where it would
+    split and cast every line again.
     """
     v = lambda n: F.col(f"__v_{n}")
-    typed = raw.withColumn("__f", F.split("line", ",")).withColumns({f"__v_{n}": e for n, e in fields.items()})
-    ok = F.rlike("line", F.lit(pattern))
+    read = F.struct(F.rlike("line", F.lit(pattern)).alias("__shape"), *[e.alias(f"__v_{n}") for n, e in fields.items()])
+    typed = raw.withColumn("__f", F.split("line", ",")).select(*raw.columns, F.inline(F.array(read)))
+    ok = F.col("__shape")
     for n in fields:
         if n not in optional:
             ok = ok & v(n).isNotNull()
@@ -139,8 +141,8 @@ def read_metrics(raw: DataFrame) -> DataFrame:
     """Open interest samples: the two figures are mandatory, the four ratios may be blank."""
     fields = {"t": X.read_datetime(F.get("__f", 0)), "open_interest": _f(2), "open_interest_value": _f(3),
               **{n: _f(4 + i) for i, n in enumerate(METRICS)}}
-    pattern = X.row(X.DATETIME, "[^,]+", X.DECIMAL, X.DECIMAL, optional=4, then=X.DECIMAL)
-    return classify(raw, pattern.removesuffix("$") + "(?:,.*)?$", fields, "t", optional=METRICS)
+    pattern = X.row(X.DATETIME, "[^,]+", X.DECIMAL, X.DECIMAL, rest=True, optional=4, then=X.DECIMAL)
+    return classify(raw, pattern, fields, "t", optional=METRICS)
 
 
 def read_agg_trades(raw: DataFrame, market: str = "usdm") -> DataFrame:

@@ -19,10 +19,10 @@ def row(*patterns: str, rest: bool = False, optional: int = 0, then: str = "") -
     """The pattern of a whole row: one pass of one expression judges every field's shape.
 
     optional more fields of pattern then may be blank or missing at the end;
-    rest allows any further fields.
+    rest allows any further fields after all of these.
     """
-    tail = f"(?:,(?:{then})?" * optional + ")?" * optional
-    return "^" + ",".join(patterns) + tail + ("(?:,.*)?" if rest else "") + "$"
+    tail = f"(?:,(?:{then})?" * optional + ("(?:,.*)?" if rest else "") + ")?" * optional
+    return "^" + ",".join(patterns) + tail + "$"
 
 
 def matched(field: Column, pattern: str, kind: str) -> Column:
