@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions.columns import DAY
 from ..operators.ordered import scan
@@ -196,7 +196,8 @@ def quality_report(rows: DataFrame, keys: Sequence[str] = ("stream",), sequence:
     """Per stream: header, blank, parsed and rejected rows, backwards and repeated stamps, and gaps in a sequence column.
 
     Stamps and ids are compared with the parsed row before in file order. A
-    hot stream is cut by file, and only each file's last values cross over.
+    hot stream is cut by file, and a large file by where its splits start; only
+    each piece's last values cross over.
     """
     keys = list(keys)
     counts = rows.groupBy(*keys).agg(*[F.count_if(F.col("status") == s).alias(f"{s}_rows") for s in ("header", "blank", "parsed", "rejected")],
@@ -205,7 +206,8 @@ def quality_report(rows: DataFrame, keys: Sequence[str] = ("stream",), sequence:
     lasts = {"__t": F.col("ts_ns")} | ({"__q": F.col(sequence)} if sequence else {})
     order = ["file", "pos"]
     before = {f"{n}p": n for n in lasts}
-    seen = scan(good, keys, order, F.col("file"), lasts=lasts, before=before)
+    split = F.col("pos.start") if isinstance(rows.schema["pos"].dataType, T.StructType) else F.floor(F.col("pos") / F.lit(1 << 20))
+    seen = scan(good, keys, order, F.struct("file", split.alias("split")), lasts=lasts, before=before)
     aggs = [F.count_if(F.col("ts_ns") < F.col("__tp")).alias("backwards_stamps"), F.count_if(F.col("ts_ns") == F.col("__tp")).alias("repeated_stamps")]
     if sequence:
         aggs.append(F.count_if(F.col(sequence) != F.col("__qp") + 1).alias("sequence_gaps"))
