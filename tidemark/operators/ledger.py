@@ -199,7 +199,8 @@ def thin(series: DataFrame, interval: int, keys: Sequence[str] = ("account",), a
 
     A gap of at least the interval always starts afresh, so keys are cut there
     into runs that spread over tasks. The greedy pass then streams sorted
-    batches with one number of state.
+    batches with one number of state. The series is read several times: store an
+    expensive one first (session.settle).
     """
     keys = list(keys)
     s = series.withColumn("__t", micros(series, at))
