@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, quality
+from . import decontaminate, ngrams, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,3 +36,9 @@ def op2(spark, sf_dir):
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     names = F.concat_ws(",", F.sort_array(F.transform("items", lambda i: i.cast("string"))))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), "contaminated")
+
+
+@query("op10_lm_scoring")
+def op10(spark, sf_dir):
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7
+    return ngrams.score(table(spark, sf_dir, "documents"), fold != 2)
