@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, ngrams, quality
+from . import decontaminate, near, ngrams, quality, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,3 +42,13 @@ def op2(spark, sf_dir):
 def op10(spark, sf_dir):
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7
     return ngrams.score(table(spark, sf_dir, "documents"), fold != 2)
+
+
+@query("op5_substring_dedup")
+def op5(spark, sf_dir):
+    return substrings.repeats(table(spark, sf_dir, "documents")).drop("row_key")
+
+
+@query("op7_near_dedup")
+def op7(spark, sf_dir):
+    return near.near_duplicates(table(spark, sf_dir, "documents")).drop("row_key")
