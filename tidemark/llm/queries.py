@@ -3,9 +3,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, near, ngrams, quality, substrings
+from . import decontaminate, near, ngrams, packing, quality, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,3 +53,8 @@ def op5(spark, sf_dir):
 @query("op7_near_dedup")
 def op7(spark, sf_dir):
     return near.near_duplicates(table(spark, sf_dir, "documents")).drop("row_key")
+
+
+@query("op4_best_fit_packing")
+def op4(spark, sf_dir):
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
