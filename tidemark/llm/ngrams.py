@@ -181,7 +181,8 @@ SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, trai
 def score(docs: DataFrame, train: Column) -> DataFrame:
     """Learns from the documents where train holds and scores all of them."""
     dealt = deal(docs, F.coalesce(train, F.lit(True)).alias("train"))
-    counts = dealt.docs.select("unit", "train", "text").groupBy("unit").applyInArrow(_counter(dealt.ranges), COUNTS)
+    # The same frame as below, so that the texts are dealt once.
+    counts = dealt.docs.groupBy("unit").applyInArrow(_counter(dealt.ranges), COUNTS)
     replies = counts.groupBy("kind", "range").applyInArrow(_adder, REPLY)
     counted = settle(dealt.docs.groupBy("unit").cogroup(replies.groupBy("unit")).applyInArrow(_counted, COUNTED))
     table = counted.select(F.explode("histogram").alias("h")).select("h.*").groupBy("level", "pair_bin", "word_bin").agg(
