@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, near, ngrams, packing, quality, substrings
+from . import chat, decontaminate, licenses, near, ngrams, packing, quality, substrings, token_counts, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,3 +58,62 @@ def op7(spark, sf_dir):
 @query("op4_best_fit_packing")
 def op4(spark, sf_dir):
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
+@query("op9_token_files")
+def op9(spark, sf_dir):
+    folder = token_files.folder(spark)
+    token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder)
+    return token_files.read(spark, folder)
+
+
+MARKER = "</s>[INST] ok [/INST]"
+
+
+@query("op3_chat_formatting", r"""
+WITH rows AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(role) + length(replace(replace(text, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|')) + 13) AS BIGINT) AS formatted_chars,
+       CAST(count(*) FILTER (role = 'assistant') AS BIGINT) AS n_examples
+FROM rows GROUP BY conv_id""")
+def op3(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-1, 0, "user", MARKER), (-1, 1, "assistant", MARKER)], "conv_id bigint, turn bigint, role string, text string")
+    made = chat.segments(rows.unionByName(more))
+    return chat.digest(made, chat.examples(made))
+
+
+@query("op1_token_counts")
+def op1(spark, sf_dir):
+    return token_counts.count(table(spark, sf_dir, "documents"), token_counts.vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
+
+
+def _canonical_sql(text: str, keep: str = "") -> str:
+    sql = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    sql = rf"regexp_replace({sql}, '(?m)^[^\p{{L}}\p{{N}}\n]*(copyright|\(c\)|©)[ \t(].*$', '', 'g')"
+    sql = rf"regexp_replace({sql}, '[^\p{{L}}\p{{N}}{keep}]+', ' ', 'g')"
+    for one, other in licenses.SPELLINGS:
+        if other.replace("/", " ") != one:
+            sql = f"replace({sql}, '{other.replace('/', ' ')}', '{one}')"
+    return sql
+
+
+def _values(texts: dict[str, str]) -> str:
+    rows = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in texts.items())
+    return f"(SELECT sha256(trim({_canonical_sql('text')})) AS digest, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM (VALUES {rows}) t(name, text) GROUP BY 1)"
+
+
+@query("op6_license_scan", f"""
+WITH docs AS (SELECT doc_id, row_number() OVER () AS row, text FROM documents),
+lines AS (SELECT row, unnest(string_split({_canonical_sql('text', chr(92) + 'n')}, chr(10))) AS line FROM docs),
+found AS (SELECT row, string_agg(DISTINCT names, ',' ORDER BY names) AS notices FROM lines JOIN {_values(licenses.NOTICES)} k ON sha256(trim(line)) = digest GROUP BY row)
+SELECT doc_id, text_sha256, names AS license, coalesce(notices, '') AS notices
+FROM (SELECT row, doc_id, sha256(trim({_canonical_sql('text')})) AS text_sha256 FROM docs) d
+LEFT JOIN {_values(licenses.TEXTS)} k ON text_sha256 = digest LEFT JOIN found USING (row)""")
+def op6(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
