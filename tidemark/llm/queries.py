@@ -47,7 +47,8 @@ def op10(spark, sf_dir):
 
 @query("op5_substring_dedup")
 def op5(spark, sf_dir):
-    return substrings.repeats(table(spark, sf_dir, "documents")).drop("row_key")
+    found = substrings.repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 @query("op7_near_dedup")

@@ -19,12 +19,11 @@ columns are ignored, or kept by `remove`.
 """
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .packed import pack, unpack
 from .units import cuts, deal
@@ -156,9 +155,9 @@ def covered(w, h: np.ndarray, repeats: np.ndarray, window: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def _kept(window: int, whole: bool):
+def _kept(window: int):
     def run(key: tuple, table: pa.Table, found: pa.Table) -> pa.Table:
-        repeats, rows, texts = _told(found), [], []
+        repeats, rows = _told(found), []
         for _, _, w in sliced(table["text"]):
             gone = covered(w, w.hashes(), repeats, window) if len(repeats) else np.zeros(len(w.starts), bool)
             n = np.diff(np.concatenate([[0], np.cumsum(gone)])[w.first])
@@ -167,32 +166,32 @@ def _kept(window: int, whole: bool):
                 words = raw[w.edges[d]:w.edges[d + 1]].split()
                 if n[d]:
                     words = [x for x, g in zip(words, gone[a:b]) if not g]
-                kept = b" ".join(words)
-                rows.append((int(b - a), int(n[d]), hashlib.sha256(kept).hexdigest()))
-                if whole:
-                    texts.append(kept if n[d] else None)
-        out = table.drop_columns(["text", "unit"])
-        for name, kind, k in (("n_words", pa.int64(), 0), ("n_removed", pa.int64(), 1), ("kept_sha256", pa.string(), 2)):
-            out = out.append_column(name, pa.array([r[k] for r in rows], kind))
-        if whole:
-            old = table["text"].to_pylist()
-            out = out.append_column("kept_text", pa.array([o if t is None else t.decode() for o, t in zip(old, texts)], pa.string()))
-        return out
+                rows.append((int(b - a), int(n[d]), b" ".join(words)))
+        kept = pa.array([r[2] for r in rows], pa.binary()).cast(pa.string())
+        return pa.Table.from_arrays([table["doc_id"], table["rest"], pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), kept,
+                                     table["text"]], names=["doc_id", "rest", "n_words", "n_removed", "kept_text", "text"])
     return run
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False) -> DataFrame:
-    """Per document: doc_id, row_key, n_words, n_removed and kept_sha256 of the kept words joined by one space.
-
-    texts adds kept_text: the kept words so joined where any went, else the text as it was.
-    """
+def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Per document: doc_id, rest (its other columns), n_words, n_removed, kept_text (the kept words joined by one space) and text as it was."""
     size = (window + 1) // 2
-    dealt = deal(docs, F.xxhash64("doc_id", "text").alias("row_key"))
+    others = [docs[f"`{c}`"] for c in docs.columns if c != "text"]
+    dealt = deal(docs, F.struct(*others).alias("rest"))
     docs, ranges = dealt.docs, dealt.ranges
     unit = lambda: docs.groupBy("unit")
     probes = unit().applyInArrow(_probes(ranges, size), SENT)
     anchors = probes.groupBy("range").applyInArrow(_matched, FOUND)
     windows = unit().cogroup(anchors.groupBy("unit")).applyInArrow(_extended(ranges, size, window), SENT)
     found = windows.groupBy("range").applyInArrow(_matched, FOUND)
-    schema = "doc_id bigint, row_key bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * texts
-    return unit().cogroup(found.groupBy("unit")).applyInArrow(_kept(window, texts), schema)
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), docs.schema["rest"], *[T.StructField(c, T.LongType()) for c in ("n_words", "n_removed")],
+                           *[T.StructField(c, T.StringType()) for c in ("kept_text", "text")]])
+    return unit().cogroup(found.groupBy("unit")).applyInArrow(_kept(window), schema)
+
+
+def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """docs without the words of repeats: texts that lose some become their kept words joined by one space, others stay as they are, and documents
+    of which nothing is left go."""
+    left = repeats(docs, window).where("n_removed = 0 or n_removed < n_words")
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    return left.select(*[text.alias(c) if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns])

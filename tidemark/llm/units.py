@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .words import texts
 
-UNIT_BYTES = 12 << 20
+#: A range gets what some units hold, so that both sides fit a task and rows between them are not tiny.
+UNIT_BYTES, UNITS_IN_RANGE = 4 << 20, 6
 
 
 @dataclass
@@ -31,7 +32,7 @@ def deal(docs: DataFrame, *extra, unit_bytes: int = UNIT_BYTES) -> Dealt:
     rows = texts(docs, *extra)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     units = max(1, -(-size // unit_bytes))
-    return Dealt(rows.withColumn("unit", F.pmod(F.xxhash64("doc_id", "text"), F.lit(units)).cast("int")), units, max(1, -(-units // 2)))
+    return Dealt(rows.withColumn("unit", F.pmod(F.xxhash64("doc_id", "text"), F.lit(units)).cast("int")), units, max(1, -(-units // UNITS_IN_RANGE)))
 
 
 def cuts(keys: np.ndarray, ranges: int) -> np.ndarray:
