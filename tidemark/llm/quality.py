@@ -92,14 +92,15 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h = w.hashes()
             n_lines, dup = lines(w)
             inside = (PLAIN != 0)[w.buf]
-            yield rows_of(batch, a, b, n_words=w.counts, word_chars=per_text(lead[w.buf] & inside, w.edges), n_symbols=per_text(SYMBOLS[w.buf], w.edges),
+            yield rows_of(batch, a, b, row_key=batch.column("row_key").slice(a, b - a), n_words=w.counts, word_chars=per_text(lead[w.buf] & inside, w.edges), n_symbols=per_text(SYMBOLS[w.buf], w.edges),
                           n_dup_lines=dup, n_repeat_words=repeated(w, h), n_lines=n_lines, n_letters=per_text(letter[w.buf], w.edges),
                           n_capitals=per_text(capital[w.buf], w.edges), n_distinct_words=distinct(w.first, h))
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """MEASURES of every text, all of it."""
-    return texts(docs).mapInArrow(_measured, "doc_id bigint, " + ", ".join(f"{m} bigint" for m in MEASURES))
+    """MEASURES of every text, all of it, beside doc_id and row_key, a hash of id and text."""
+    rows = texts(docs, F.xxhash64("doc_id", "text").alias("row_key"))
+    return rows.mapInArrow(_measured, "doc_id bigint, row_key bigint, " + ", ".join(f"{m} bigint" for m in MEASURES))
 
 
 def votes(measured: DataFrame, rules=None) -> DataFrame:
@@ -147,7 +148,7 @@ def posterior(patterns: np.ndarray, share: float, right: np.ndarray) -> np.ndarr
 
 
 def judge(docs: DataFrame, threshold: float = 0.5, rules=None) -> DataFrame:
-    """One row a document: doc_id, MEASURES, a vote per rule, quality (the posterior) and good (quality >= threshold)."""
+    """One row a document: doc_id, row_key, MEASURES, a vote per rule, quality (the posterior) and good (quality >= threshold)."""
     rules = rules or RULES
     voted = settle(votes(measure(docs), rules))
     names = [f"vote_{r}" for r in rules]
