@@ -21,6 +21,7 @@ def books(spark, series):
 def test_expected_max_and_power():
     assert abs(expected_max(2.0) - 1 / math.sqrt(math.pi)) < 1e-6 and expected_max(1.0) == 0.0
     assert abs(count_for_max(expected_max(40.0)) - 40.0) < 0.5
+    assert all(abs(count_for_max(expected_max(n)) / n - 1) < 1e-5 for n in (2.0, 5_000.0, 20_000.0, 3e7)) and count_for_max(0.0) == 1.0
 
 
 def test_periods_needed(spark):

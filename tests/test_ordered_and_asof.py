@@ -56,3 +56,14 @@ def test_asof_equals_merge_asof(spark, direction, strict, block):
     want = pd.merge_asof(left.sort_values("t"), right.sort_values("u"), left_on="t", right_on="u", by="k", direction=direction,
                          allow_exact_matches=not strict).sort_values("i").v.astype(float).to_numpy()
     np.testing.assert_array_equal(got, want)
+
+
+def test_null_keys_and_stamps_keep_their_rows(spark):
+    left = spark.createDataFrame([("a", 1, 5), ("a", 2, None), (None, 3, 5), (None, 4, None)], "k string, id int, t bigint").selectExpr("k", "id", "timestamp_seconds(t) AS t")
+    right = spark.createDataFrame([("a", 1, 1.0), (None, 1, 2.0), ("a", None, 3.0)], "k string, t bigint, v double").selectExpr("k", "timestamp_seconds(t) AS t", "v")
+    for direction, first in (("backward", 1.0), ("forward", None)):
+        got = {r.id: r.v for r in asof_join(left, right, ["k"], "t", "t", {"v": "v"}, direction).collect()}
+        assert got == {1: first, 2: None, 3: None, 4: None}
+    df = spark.createDataFrame([(None, 1, 2), (None, 70, 3), ("a", None, 5), ("a", 2, 7)], "k string, t bigint, x bigint")
+    out = {(r.k, r.t): (r.s, r.p) for r in scan(df, ["k"], ["t"], F.floor(F.col("t") / 64), sums={"s": F.col("x")}, lasts={"l": F.col("x")}, before={"p": "l"}).collect()}
+    assert out == {(None, 1): (2, None), (None, 70): (5, 2), ("a", None): (5, None), ("a", 2): (12, 5)}

@@ -81,10 +81,24 @@ def test_ingest_writes_the_lake_and_quarantines_rejects(spark, tmp_path):
     A.ingest(raw(spark, [KLINE, MICRO, "1,2"]), A.read_klines, str(tmp_path / "lake"), str(tmp_path / "bad"), "klines_1h")
     back = lake.scan(spark, str(tmp_path / "lake"), "klines_1h", "2024-01-01 00:00:00", "2024-01-01 01:30:00", ["BTC"])
     assert back.count() == 1 and spark.read.parquet(str(tmp_path / "bad")).count() == 1
+    # Both lines are of one symbol and day, which a later write of either replaces.
     A.ingest(raw(spark, [KLINE]), A.read_klines, str(tmp_path / "lake"), str(tmp_path / "bad"), "klines_1h")
     assert spark.read.parquet(str(tmp_path / "lake")).count() == 1
 
 
+def test_the_lake_keeps_other_symbols_and_days(spark, tmp_path):
+    path = str(tmp_path / "lake")
+    row = lambda symbol, day, x: (symbol, dt.datetime(2024, 1, day), x, "klines_1d")
+    put = lambda *rows: lake.write(spark.createDataFrame(rows, "symbol string, t timestamp, close double, dataset string"), path)
+    put(row("BTC", 1, 1.0), row("BTC", 2, 2.0))
+    put(row("ETH", 2, 3.0))
+    put(row("BTC", 2, 9.0), row(None, 2, 4.0))
+    put(row("BTC", 3, 5.0))
+    put(row(None, 2, 6.0))
+    got = {(r.symbol, r.t.day): r.close for r in spark.read.parquet(path).collect()}
+    assert got == {("BTC", 1): 1.0, ("BTC", 2): 9.0, ("ETH", 2): 3.0, ("BTC", 3): 5.0, (None, 2): 6.0}
+
+
 def test_cost_table(spark, tmp_path):
     p = tmp_path / "c.csv"
     head = "taker_fee_bps,week_start,note,symbol,market,impact_bps_per_unit,half_spread_bps\n"

@@ -19,26 +19,38 @@ def normal_ppf(p: float) -> float:
     return NormalDist().inv_cdf(p)
 
 
-@lru_cache(maxsize=None)
+@lru_cache(maxsize=1)
+def _log_cdf() -> tuple[np.ndarray, np.ndarray]:
+    """log F on a grid; above 0 from the upper tail, so that 1 - F keeps its digits."""
+    x = np.linspace(-38.0, 38.0, 76_001)
+    tail = np.array([0.5 * math.erfc(abs(v) / math.sqrt(2.0)) for v in x])
+    with np.errstate(divide="ignore"):
+        return x, np.where(x > 0, np.log1p(-tail), np.log(tail))
+
+
+@lru_cache(maxsize=4096)
 def expected_max(n: float) -> float:
     """Expected maximum of n independent standard normals, for real n from 1, by integrating 1 - F^n tails."""
     if n <= 1:
         return 0.0
-    x = np.linspace(-12.0, 12.0, 24001)
-    cdf = np.array([0.5 * math.erfc(-v / math.sqrt(2.0)) for v in x])
-    upper, lower = 1.0 - cdf ** n, cdf ** n
+    x, log_cdf = _log_cdf()
+    lower = np.exp(n * log_cdf)
+    upper = -np.expm1(n * log_cdf)
     # E[max] is the upper tail's integral over x > 0 less the lower's over x < 0.
     return float(np.trapezoid(upper[x >= 0], x[x >= 0]) - np.trapezoid(lower[x <= 0], x[x <= 0]))
 
 
-@lru_cache(maxsize=1)
-def expected_max_table() -> tuple[np.ndarray, np.ndarray]:
-    """400 geometric counts from 1 to 5000 and the expected maximum at each."""
-    counts = np.geomspace(1.0, 5000.0, 400)
-    return counts, np.array([expected_max(float(c)) for c in counts])
-
-
+@lru_cache(maxsize=None)
 def count_for_max(value: float) -> float:
-    """The independent count whose expected maximum is value, interpolated."""
-    counts, means = expected_max_table()
-    return float(np.interp(value, means, counts))
+    """The independent count, from 1, whose expected maximum is value: bisection on its logarithm, without an upper bound on the count."""
+    if not value > 0:
+        return 1.0
+    lo, hi = 0.0, 1.0
+    while expected_max(math.exp(hi)) < value:
+        lo, hi = hi, 2 * hi
+        if hi > 600:
+            raise ValueError(f"no count has an expected maximum of {value}")
+    while hi - lo > 1e-9 * hi:
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if expected_max(math.exp(mid)) < value else (lo, mid)
+    return math.exp((lo + hi) / 2)

@@ -20,7 +20,8 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str
     """left with values of the nearest right row at or before (backward) or at or after (forward) it.
 
     values maps an output name to a right column or expression, NULL where no
-    row qualifies. At equal stamps a right row counts unless strict. Ties
+    row qualifies; a NULL key or stamp on either side matches nothing, and left
+    rows keep their place all the same. At equal stamps a right row counts unless strict. Ties
     order rows of equal stamps further: where given on both sides, a right row
     qualifies up to the left row's own tie. block is the width in microseconds
     of the time blocks a key is cut into.
@@ -35,7 +36,7 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str
     right_side, left_side = (1, 0) if strict else (0, 1)
     payload = F.struct(*[(F.col(v) if isinstance(v, str) else v).alias(n) for n, v in values.items()])
     r = right.select(*by, (micros(right, right_on) * sign).alias("__t"), rt.alias("__tie"),
-                     F.lit(right_side).alias("__side"), payload.alias("__v"))
+                     F.lit(right_side).alias("__side"), payload.alias("__v")).dropna(subset=[*by, "__t"])
     l = left.select(*by, (micros(left, left_on) * sign).alias("__t"), lt.alias("__tie"),
                     F.lit(left_side).alias("__side"), F.struct(*[F.col(c) for c in left.columns]).alias("__l"))
     rows = r.unionByName(l, allowMissingColumns=True)

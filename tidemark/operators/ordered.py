@@ -8,6 +8,7 @@ builds before any shuffle. Rows move once, on (key, block).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -21,7 +22,8 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], bloc
 
     Each covers the rows up to and including its own. before maps a new column
     to one of them, taken over the rows before instead. A sum over nothing is 0,
-    a maximum or last value NULL. The input is read twice, once for the block
+    a maximum or last value NULL. Rows with a NULL key are one key's, and rows
+    whose block is NULL come before all others of theirs. The input is read twice, once for the block
     ends and once for the rows, so an expensive one is stored first
     (session.settle), and values are asked for together rather than in turn.
     """
@@ -35,12 +37,15 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], bloc
     past = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     over = {"sum": lambda x, w: F.coalesce(F.sum(x).over(w), F.lit(0)), "max": lambda x, w: F.max(x).over(w),
             "last": lambda x, w: F.last(x, ignorenulls=True).over(w)}
-    carried = ends.select(*keys, BLOCK, *[over[k](f"__e_{n}", past).alias(f"__c_{n}") for n, k in kinds.items()])
+    where = [*keys, BLOCK]
+    carried = ends.select(*[F.col(c).alias(f"__at_{c}") for c in where], *[over[k](f"__e_{n}", past).alias(f"__c_{n}") for n, k in kinds.items()])
     w = Window.partitionBy(*keys, BLOCK).orderBy(*order)
     upto, prior = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
     local = {n: over[k](f"__x_{n}", upto) for n, k in kinds.items()}
     local |= {b: over[kinds[n]](f"__x_{n}", prior) for b, n in before.items()}
-    out = rows.withColumns({f"__l_{n}": e for n, e in local.items()}).join(carried, [*keys, BLOCK])
+    # A NULL key is a key, and a NULL order value a block of its own before all others.
+    meet = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__at_{c}")) for c in where])
+    out = rows.withColumns({f"__l_{n}": e for n, e in local.items()}).join(carried, meet)
     join = {"sum": lambda a, c: F.col(a) + F.col(c), "max": lambda a, c: F.greatest(a, c), "last": lambda a, c: F.coalesce(a, c)}
     made = {**{n: n for n in kinds}, **before}
     return out.select(*[F.col(c) for c in df.columns if c not in made],

@@ -222,16 +222,30 @@ def _(s, d):
     return s.read.parquet(lake_copy(s, d)).groupBy("year", "month").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@query("s15_lake_appends", "symbol at close~6", "SELECT symbol, at, CASE WHEN day(at) = 9 THEN 2 * close ELSE close END AS close FROM bd")
+def _(s, d):
+    # Odd and even brands, then the 9th of each month again, in separate writes of the same months.
+    path = f"{shared_dir(s)}/tidemark/lake-{uuid.uuid4().hex}"
+    b = V.stored_bars(s, d).select("symbol", "close", F.col("at").cast("timestamp").alias("open_time"), F.lit("klines_1d").alias("dataset"))
+    odd, ninth = F.substring("symbol", -1, 1).cast("int") % 2 == 1, F.dayofmonth("open_time") == 9
+    for part in (b.filter(odd & ~ninth), b.filter(~odd), b.filter(ninth).withColumn("close", F.col("close") * 2)):
+        K.write(part, path, at="open_time")
+    return K.klines(s, path, "1990-01-01", "2010-01-01").select("symbol", F.to_date("open_time").alias("at"), "close")
+
+
 @query("s16_daily_bars", "symbol at high~6 low~6 close~6 volume~4", "SELECT symbol, at, high, low, close, volume FROM bd")
 def _(s, d):
     return K.daily_bars(K.klines(s, lake_copy(s, d), "1990-01-01", "2010-01-01"))
 
 
-@query("s16_open_interest", "t b11~3 b12~3", """
-SELECT at AS t, max(CASE WHEN symbol = 'Brand#11' THEN close * volume END) AS b11, max(CASE WHEN symbol = 'Brand#12' THEN close * volume END) AS b12 FROM bd GROUP BY 1""")
+BRANDS = [f"Brand#{i}{j}" for i in range(1, 6) for j in range(1, 6)]
+
+
+@query("s16_open_interest", "t " + " ".join(f"b{b[-2:]}~3" for b in BRANDS),
+       "SELECT at AS t, " + ", ".join(f"max(CASE WHEN symbol = '{b}' THEN close * volume END) AS b{b[-2:]}" for b in BRANDS) + " FROM bd GROUP BY 1")
 def _(s, d):
     m = V.bars(s, d).select("symbol", F.col("at").alias("t"), (F.col("close") * F.col("volume")).alias("open_interest_value"), F.lit(0).alias("seq"))
-    return K.open_interest(m, ["Brand#11", "Brand#12"]).select("t", F.col("Brand#11").alias("b11"), F.col("Brand#12").alias("b12"))
+    return K.open_interest(m, BRANDS).select("t", *[F.col(b).alias(f"b{b[-2:]}") for b in BRANDS])
 
 
 @query("s17_json_bars", "symbol at close~6 volume~4", "SELECT symbol, at, close, volume FROM bd WHERE day(at) <> 1")

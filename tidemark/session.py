@@ -1,7 +1,6 @@
 """Session settings and the shared scratch area."""
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -30,26 +29,38 @@ def build(app: str = "tidemark", master: str | None = None, **conf) -> SparkSess
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, spark.checkpoint.dir, or a new temporary folder where it is unset, as in tests."""
+    """The folder that driver and executors share, spark.checkpoint.dir.
+
+    Where it is unset, a new temporary folder on a local master, as in tests; a cluster's
+    executors would each write to a disk of their own, so there it must be set.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes the stored copies of this session; frames that read them are of no use afterwards."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidemark/{_session(spark)}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _session(spark: SparkSession) -> str:
+    return spark.sparkContext.applicationId
+
+
 def settle(df: DataFrame) -> DataFrame:
     """df written once to the shared folder and read back.
 
     Cuts the lineage of a frame that a plan reads several times, so its source is
     scanned once. The copy outlives lost executors, and its file statistics let
-    the optimizer decide on broadcasting by real size.
+    the optimizer decide on broadcasting by real size. clear removes the copies.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tidemark/{_session(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def local_cores() -> int:
-    return int(os.environ.get("BENCH_CPUS", os.cpu_count() or 1))

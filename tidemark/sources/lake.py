@@ -2,25 +2,48 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 PARTITIONS = ("dataset", "year", "month")
 
 
-def write(rows: DataFrame, path: str, at: str = "t", files_per_month: int = 8) -> None:
-    """Replaces the months rows cover and leaves the rest.
+def write(rows: DataFrame, path: str, at: str = "t", unit: Sequence[str] = ("symbol",)) -> None:
+    """Replaces what rows cover, by dataset, unit and day, and keeps everything else.
 
-    Months are spread over several files by symbol hash, so one large month
-    is not one task, and row-group statistics on symbol prune reads.
+    A month that rows touch is written anew from its kept rows and the new ones, so
+    an archive's daily files, another symbol or a backfill add to what is there. One
+    writer at a time. Files are cut by size: the months are rebalanced by bytes, and
+    row-group statistics on symbol prune reads.
     """
-    salted = (rows.withColumn("year", F.year(at)).withColumn("month", F.month(at))
-              .withColumn("__salt", F.pmod(F.xxhash64("symbol", F.date_trunc("DAY", at)), F.lit(files_per_month))))
-    (salted.repartition("dataset", "year", "month", "__salt").sortWithinPartitions("dataset", "year", "month", "symbol", at).drop("__salt")
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
+    spark = rows.sparkSession
+    new = rows.withColumn("year", F.year(at)).withColumn("month", F.month(at))
+    if _exists(spark, path):
+        old = spark.read.parquet(path)
+        months = new.select(*PARTITIONS).distinct()
+        own = [*PARTITIONS, *unit]
+        covered = new.select(*[F.col(c).alias(f"__{c}") for c in own], F.to_date(at).alias("__day")).distinct()
+        meet = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in own]) & F.to_date(at).eqNullSafe(F.col("__day"))
+        kept = old.join(months, list(PARTITIONS), "left_semi").join(covered, meet, "left_anti")
+        new = new.unionByName(kept, allowMissingColumns=True)
+    (new.hint("rebalance", *PARTITIONS).sortWithinPartitions(*PARTITIONS, "symbol", at)
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").option("maxRecordsPerFile", 50_000_000)
      .partitionBy(*PARTITIONS).parquet(path))
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether anything was written at path yet."""
+    try:
+        spark.read.parquet(path)
+        return True
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
+
+
 def scan(spark: SparkSession, path: str, dataset: str, start: str, end: str, symbols: Sequence[str] | None = None,
          at: str = "t", schema=None) -> DataFrame:
     """Rows of one dataset with stamps in [start, end): partitions, then row groups, then rows are pruned."""
