@@ -26,30 +26,30 @@ def trig(spark, rows):
 
 
 def outcome(spark, bars, moves, exits, side=1):
-    lv = E.levels(bars({"A": moves}))
-    r = E.candidates(lv, trig(spark, [("A", 0, side, 1)]), exits).first()
+    lv = E.path(bars({"A": moves}))
+    r = E.outcomes(lv, trig(spark, [("A", 0, side, 1)]), exits).first()
     return (r.x, r.reason) if r else None
 
 
 def test_barriers_and_their_precedence(spark, bars):
-    ex = E.Exits(take=2.0, stop=1.0, hold=4)
+    ex = E.Barriers(target=2.0, stop=1.0, horizon=4)
     assert outcome(spark, bars, [0.0, 0.01, 0.01, 0.0, 0.0, 0.0], ex) == (2, "take")
     assert outcome(spark, bars, [0.0, -0.02, 0.05, 0.0, 0.0, 0.0], ex) == (1, "stop")
     assert outcome(spark, bars, [0.0, 0.0, 0.0, 0.0, 0.0, 0.0], ex) == (4, "time")
     assert outcome(spark, bars, [0.0, 0.0, 0.0], ex) == (2, "end")
     assert outcome(spark, bars, [0.0, 0.0, 0.0, 0.0, None, 0.0, 0.0], ex) == (5, "halt")
     # One bar at both a take and a revert is a take; a stop beats both.
-    assert outcome(spark, bars, [0.0, 0.03, 0.0], E.Exits(take=2.0, stop=None, hold=2, revert=0.5)) == (1, "take")
-    assert outcome(spark, bars, [0.0, -0.03, 0.0], E.Exits(take=None, stop=1.0, hold=2, revert=-5.0)) == (1, "stop")
+    assert outcome(spark, bars, [0.0, 0.03, 0.0], E.Barriers(target=2.0, stop=None, horizon=2, fade=0.5)) == (1, "take")
+    assert outcome(spark, bars, [0.0, -0.03, 0.0], E.Barriers(target=None, stop=1.0, horizon=2, fade=-5.0)) == (1, "stop")
     # A halted entry bar opens nothing; a delay fills later.
     assert outcome(spark, bars, [None, 0.0, 0.0], ex) is None
-    assert outcome(spark, bars, [0.0, 0.05, 0.02, 0.0], E.Exits(take=2.0, stop=None, hold=2, delay=1)) == (2, "take")
+    assert outcome(spark, bars, [0.0, 0.05, 0.02, 0.0], E.Barriers(target=2.0, stop=None, horizon=2, wait=1)) == (2, "take")
 
 
 def test_entry_on_the_last_bar_holds_nothing(spark, bars):
-    lv = E.levels(bars({"A": [0.0, 0.0]}))
-    c = E.candidates(lv, trig(spark, [("A", 1, 1, 1)]), E.Exits(None, None, 3))
-    assert E.held_bars(lv, c, 10).count() == 0 and c.first().reason == "end"
+    lv = E.path(bars({"A": [0.0, 0.0]}))
+    c = E.outcomes(lv, trig(spark, [("A", 1, 1, 1)]), E.Barriers(None, None, 3))
+    assert E.marks(lv, c, 10).count() == 0 and c.first().reason == "end"
 
 
 def undivided_walk(rows, slots, per_coin):
@@ -73,7 +73,7 @@ def test_walk_equals_an_undivided_one(spark, seed, slots, per_coin, spread):
         e = rng.randrange(spread)
         rows.append((f"t{i:03}", rng.choice("ABC"), base + dt.timedelta(hours=e), base + dt.timedelta(hours=e + rng.randrange(0, 6)), rng.choice([1.0, 2.0, 3.0])))
     c = spark.createDataFrame(rows, "trade string, symbol string, entry timestamp, exit timestamp, strength double")
-    got = {r.trade for r in E.walk(c, slots, per_coin).collect()}
+    got = {r.trade for r in E.admitted(c, slots, per_coin).collect()}
     assert got == undivided_walk(rows, slots, per_coin)
 
 

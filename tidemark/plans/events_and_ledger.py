@@ -11,8 +11,8 @@ from .bars_and_panel import rolled
 from .oracle_views import CTES, FLAT_BPS
 from .registry import query
 
-EXITS = E.Exits(take=1.0, stop=1.0, hold=5, delay=1)
-REVERT = E.Exits(take=None, stop=2.0, hold=6, delay=0, revert=0.5)
+EXITS = E.Barriers(target=1.0, stop=1.0, horizon=5, wait=1)
+REVERT = E.Barriers(target=None, stop=2.0, horizon=6, fade=0.5)
 SLOTS = 10
 
 
@@ -51,12 +51,12 @@ UNION ALL SELECT trade, b.at, -0.1 * exp(b.level - c.entry_level) * 10.0 / 1e4 F
 
 def setup(s, d):
     b = event_bars(s, d)
-    return settle(E.levels(b)), triggers(b)
+    return settle(E.path(b)), triggers(b)
 
 
 @query("e1_levels", "symbol at i level~8 last", "SELECT symbol, at, i, level, last FROM lv", ctes=EV)
 def _(s, d):
-    return E.levels(event_bars(s, d))
+    return E.path(event_bars(s, d)).withColumns({"i": F.col("n"), "level": F.col("cum"), "last": F.col("end.n")})
 
 
 @query("e2_hedged_levels", "symbol at traded spread~8 h_funding~10", """
@@ -64,19 +64,20 @@ SELECT b.symbol, b.at, b.traded AND coalesce(h.traded, false) AS traded,
   b.level - last_value(h.level IGNORE NULLS) OVER (PARTITION BY b.symbol ORDER BY b.at ROWS UNBOUNDED PRECEDING) AS spread, coalesce(h.funding, 0) AS h_funding
 FROM lv b LEFT JOIN (SELECT * FROM lv WHERE symbol = 'Brand#11') h ON h.at = b.at WHERE b.symbol <> 'Brand#11'""", ctes=EV)
 def _(s, d):
-    return E.hedged_levels(event_bars(s, d), "Brand#11")
+    return E.hedge(E.path(event_bars(s, d)), "Brand#11").withColumn("spread", F.col("watched"))
 
 
 @query("e3_entries", "trade symbol side~1 strength~5 e entry entry_level~8", "SELECT trade, symbol, side, strength, e, entry, entry_level FROM en", ctes=EV)
 def _(s, d):
     lv, tr = setup(s, d)
-    return E.entries(lv, tr, EXITS)
+    return E.opened(lv, tr, EXITS).withColumn("entry_level", F.col("base"))
 
 
 @query("e4_barrier_hits", "trade x_hit why", "SELECT trade, x_hit, why FROM hits", ctes=EV)
 def _(s, d):
     lv, tr = setup(s, d)
-    return E.barrier_hits(lv, E.entries(lv, tr, EXITS), EXITS)
+    t = E.touches(E.opened(lv, tr, EXITS), EXITS).where("touch is not null")
+    return t.select("trade", F.col("touch.n").alias("x_hit"), F.col("touch.why").alias("why"))
 
 
 CANDIDATES = "SELECT trade, symbol, side, c.e, entry, x, (SELECT at FROM lv WHERE lv.symbol = c.symbol AND lv.i = c.x) AS exit, reason FROM cand c"
@@ -85,7 +86,7 @@ CANDIDATES = "SELECT trade, symbol, side, c.e, entry, x, (SELECT at FROM lv WHER
 @query("e5_candidates", "trade symbol side~1 e entry x exit reason", CANDIDATES, ctes=EV)
 def _(s, d):
     lv, tr = setup(s, d)
-    return E.candidates(lv, tr, EXITS)
+    return E.outcomes(lv, tr, EXITS)
 
 
 REV = {**EV, "en": EV["en"].replace("b.i + 1", "b.i"),
@@ -98,19 +99,28 @@ REV = {**EV, "en": EV["en"].replace("b.i + 1", "b.i"),
 @query("e5_revert_candidates", "trade symbol side~1 e entry x exit reason", CANDIDATES, ctes=REV)
 def _(s, d):
     lv, tr = setup(s, d)
-    return E.candidates(lv, tr, REVERT)
+    return E.outcomes(lv, tr, REVERT)
 
 
 def stored_candidates(s, d):
     lv, tr = setup(s, d)
-    return lv, settle(E.candidates(lv, tr, EXITS))
-
-
-# A greedy walk over open trades has no plain SQL form; the tests hold it against an undivided walk.
-@query("e6_overlap_walk", "trade symbol entry exit reason")
+    return lv, settle(E.outcomes(lv, tr, EXITS))
+
+
+# The greedy rule with the open trades as a list that a recursion carries along.
+@query("e6_overlap_walk", "trade symbol entry exit reason", f"""
+WITH RECURSIVE o AS (
+  SELECT c.trade, c.symbol, c.entry, l.at AS exit, c.reason, row_number() OVER (ORDER BY c.entry, -abs(c.strength), c.trade) AS n FROM cand c JOIN lv l ON l.symbol = c.symbol AND l.i = c.x),
+w AS (
+  SELECT 0::BIGINT AS n, []::STRUCT(s VARCHAR, x TIMESTAMP)[] AS held, false AS taken
+  UNION ALL
+  SELECT n, CASE WHEN ok THEN list_append(live, {{'s': symbol, 'x': exit::TIMESTAMP}}) ELSE live END, ok FROM (
+    SELECT *, len(live) < {SLOTS} AND len(list_filter(live, lambda h: h.s = symbol)) < 1 AS ok FROM (
+      SELECT o.n, o.symbol, o.exit, list_filter(w.held, lambda h: h.x > o.entry) AS live FROM w JOIN o ON o.n = w.n + 1)))
+SELECT o.trade, o.symbol, o.entry, o.exit, o.reason FROM o JOIN w ON w.n = o.n WHERE w.taken""", ctes=EV)
 def _(s, d):
     _lv, c = stored_candidates(s, d)
-    return E.walk(c, SLOTS, 1)
+    return E.admitted(c, SLOTS, 1)
 
 
 @query("e7_daily_book", "day gross~8 funding~8 cost~8 net~8", """
@@ -119,20 +129,20 @@ SELECT day, coalesce(g, 0) AS gross, coalesce(f, 0) AS funding, coalesce(c, 0) A
 LEFT JOIN (SELECT at, sum(gross) AS g, sum(funding) AS f FROM held_ GROUP BY 1) h ON h.at = day LEFT JOIN (SELECT at, sum(cost) AS c FROM fees GROUP BY 1) x ON x.at = day""", ctes=EV)
 def _(s, d):
     lv, c = stored_candidates(s, d)
-    return E.daily_book(E.held_bars(lv, c, SLOTS), E.trade_costs(lv, c, C.flat(FLAT_BPS), SLOTS, 1.0))
+    return E.by_day(E.marks(lv, c, SLOTS), E.charges(lv, c, C.flat(FLAT_BPS), SLOTS, 1.0))
 
 
 @query("e8_trade_costs", "trade at cost~10", "SELECT trade, at, cost FROM fees", ctes=EV)
 def _(s, d):
     lv, c = stored_candidates(s, d)
-    return E.trade_costs(lv, c, C.flat(FLAT_BPS), SLOTS, 1.0)
+    return E.charges(lv, c, C.flat(FLAT_BPS), SLOTS, 1.0)
 
 
 @query("e9_uniqueness", "trade u~8", """
 SELECT trade, avg(1.0::DOUBLE / n) AS u FROM held_ h JOIN (SELECT at, count(*) AS n FROM held_ GROUP BY 1) o ON o.at = h.at GROUP BY 1""", ctes=EV)
 def _(s, d):
     lv, c = stored_candidates(s, d)
-    return E.uniqueness(settle(E.held_bars(lv, c, SLOTS)))
+    return E.crowding(settle(E.marks(lv, c, SLOTS)))
 
 
 @query("e10_trade_report", "trade reason bars gross~8 funding~10 cost~10 net~8", """
@@ -140,7 +150,7 @@ SELECT c.trade, reason, x - e AS bars, coalesce(g, 0) AS gross, coalesce(f, 0) A
 LEFT JOIN (SELECT trade, sum(gross) AS g, sum(funding) AS f FROM held_ GROUP BY 1) h ON h.trade = c.trade JOIN (SELECT trade, sum(cost) AS k FROM fees GROUP BY 1) z ON z.trade = c.trade""", ctes=EV)
 def _(s, d):
     lv, c = stored_candidates(s, d)
-    return E.trade_report(c, E.held_bars(lv, c, SLOTS), E.trade_costs(lv, c, C.flat(FLAT_BPS), SLOTS, 1.0))
+    return E.report(c, E.marks(lv, c, SLOTS), E.charges(lv, c, C.flat(FLAT_BPS), SLOTS, 1.0))
 
 
 # Ledger -----------------------------------------------------------------------------------------------------

@@ -58,7 +58,8 @@ def oracle(body: str, spec: str | None = None, ctes: dict[str, str] | None = Non
         cols = ", ".join(f"round({n} + {nudge(d)!r}::DOUBLE, {d}) + 0.0::DOUBLE AS {n}" if d is not None else n for n, d in _columns(spec))
         body = f"SELECT {cols} FROM ({body})"
     if need:
-        body = "WITH " + ",\n".join(f"{n} AS ({known[n]})" for n in need) + "\n" + body
+        # RECURSIVE allows a body that names itself and changes nothing for the others.
+        body = "WITH RECURSIVE " + ",\n".join(f"{n} AS ({known[n]})" for n in need) + "\n" + body
     # AT is a reserved word in DuckDB.
     return re.sub(r"\bat\b", '"at"', body)
 

@@ -43,15 +43,15 @@ def _(s, d):
 SELECT en.trade, b.i, en.side * (b.level - entry_level) AS move FROM en JOIN lv b ON b.symbol = en.symbol AND b.i > e AND b.i <= e + 5""", ctes=EV)
 def _(s, d):
     lv, tr = setup(s, d)
-    e = E.entries(lv, tr, EXITS).withColumn("i", F.explode(F.sequence(F.col("e") + 1, F.col("e") + EXITS.hold)))
-    return e.join(lv.select("symbol", "i", "level"), ["symbol", "i"]).withColumn("move", F.col("side") * (F.col("level") - F.col("entry_level")))
+    e = E.opened(lv, tr, EXITS).select("trade", "symbol", "side", "base", F.explode(F.sequence(F.col("e") + 1, F.col("e") + EXITS.horizon)).alias("i"))
+    return e.join(lv.select("symbol", F.col("n").alias("i"), "cum"), ["symbol", "i"]).withColumn("move", F.col("side") * (F.col("cum") - F.col("base")))
 
 
 @query("j6_ordinal_offset", "trade fill_at", "SELECT t.trade, f.at AS fill_at FROM tr t JOIN lv b ON b.symbol = t.symbol AND b.at = t.at JOIN lv f ON f.symbol = b.symbol AND f.i = b.i + 2", ctes=EV)
 def _(s, d):
     lv, tr = setup(s, d)
-    i = tr.join(lv.select("symbol", "at", "i"), ["symbol", "at"]).withColumn("i", F.col("i") + 2)
-    return i.drop("at").join(lv.select("symbol", "i", F.col("at").alias("fill_at")), ["symbol", "i"])
+    i = tr.join(lv.select("symbol", "at", "n"), ["symbol", "at"]).withColumn("n", F.col("n") + 2)
+    return i.drop("at").join(lv.select("symbol", "n", F.col("at").alias("fill_at")), ["symbol", "n"])
 
 
 @query("j7_semi_anti", "p_partkey seen", """
