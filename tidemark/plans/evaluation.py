@@ -384,7 +384,17 @@ def _(s, d):
     return Gt.pbo(stored_books(s, d))
 
 
-@query("g9_bootstrap", "book_id sharpe_5~6 sharpe_50~6 sharpe_95~6 ends_above_zero~6 drawdown_50~6 drawdown_5~6")
+@query("g9_bootstrap", "book_id sharpe_5~6 sharpe_50~6 sharpe_95~6 ends_above_zero~6 drawdown_50~6 drawdown_5~6", """
+WITH v AS (SELECT book_id, r, row_number() OVER (PARTITION BY book_id ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY book_id) AS n FROM books WHERE r IS NOT NULL),
+z AS (SELECT DISTINCT book_id, n, least(8, n) AS w FROM v),
+st AS (SELECT book_id, n, w, d, k, ('0x' || substr(md5(book_id || '|0|' || d || '|' || k), 1, 8))::BIGINT % (n - w + 1) AS b
+  FROM z, range(5000) x(d), (SELECT unnest(range((SELECT max(n) FROM z))) AS k) WHERE k * w < n),
+x AS (SELECT st.book_id, d, k * w + o AS p, v.r FROM st, range(8) y(o) JOIN v ON v.book_id = st.book_id AND v.i = b + o WHERE o < w AND k * w + o < st.n),
+c AS (SELECT *, sum(r) OVER (PARTITION BY book_id, d ORDER BY p ROWS UNBOUNDED PRECEDING) AS t FROM x),
+f AS (SELECT *, t - max(t) OVER (PARTITION BY book_id, d ORDER BY p ROWS UNBOUNDED PRECEDING) AS fall FROM c),
+q AS (SELECT book_id, d, avg(r) / nullif(stddev_pop(r), 0) * sqrt(52) AS s, arg_max(t, p) AS last, min(fall) AS fall FROM f GROUP BY 1, 2)
+SELECT book_id, quantile_cont(s, 0.05) AS sharpe_5, quantile_cont(s, 0.5) AS sharpe_50, quantile_cont(s, 0.95) AS sharpe_95,
+  avg(CASE WHEN last > 0 THEN 1.0 ELSE 0.0 END) AS ends_above_zero, quantile_cont(fall, 0.5) AS drawdown_50, quantile_cont(fall, 0.05) AS drawdown_5 FROM q GROUP BY 1""")
 def _(s, d):
     return Gt.bootstrap(books(s, d))
 

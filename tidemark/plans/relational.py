@@ -8,7 +8,7 @@ from ..operators import asof, bars as B, book as K, costs as C, events as E, pan
 from ..session import settle
 from . import views as V
 from .bars_and_panel import long_bars, panel, stored_panel
-from .books_and_signals import books, cost_sample
+from .books_and_signals import SAMPLE, books, cost_sample
 from .events_and_ledger import EV, EXITS, setup, stored_candidates
 from .oracle_views import FLOOR
 from .registry import query
@@ -235,7 +235,11 @@ def _(s, d):
     return V.bars(s, d).groupBy("symbol").agg(best.alias("b")).select("symbol", "b.at", "b.close")
 
 
-@query("o3_stratified_draw", "band symbol liquidity~4")
+@query("o3_stratified_draw", "band symbol liquidity~4", f"""
+SELECT band, symbol, liquidity FROM (
+  SELECT *, row_number() OVER (PARTITION BY band ORDER BY md5(symbol || '|7'), symbol) AS n FROM (
+    SELECT symbol, liquidity, CASE WHEN liquidity >= 80000 THEN 0 WHEN liquidity >= 40000 THEN 1 WHEN liquidity >= 0 THEN 2 END AS band FROM ({SAMPLE})) WHERE band IS NOT NULL)
+WHERE n <= band + 2""")
 def _(s, d):
     bands = ((80000.0, float("inf"), 2), (40000.0, 80000.0, 3), (0.0, 40000.0, 4))
     return C.stratified(cost_sample(s, d).select("symbol", "liquidity"), 7, bands=bands)
