@@ -17,7 +17,7 @@ import numpy as np
 from .words import BYTE_BASE, PLAIN, runs
 
 UNUSUAL = re.compile(rb"<\||\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
-SLOTS, MOST_IDS = 1 << 20, 1 << 23
+SLOT_BITS, MOST_IDS = 19, 1 << 22
 SPACE = np.isin(np.arange(256), list(b"\t\n\v\f\r "))
 
 
@@ -51,7 +51,7 @@ def byte_cuts(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 class Encoder:
-    """One task's encoder. Its cache is a table of fixed size, where a newer stretch takes the place of an older one."""
+    """A worker's encoder, see `shared`. Its cache is a table of fixed size, where a newer stretch takes the place of an older one."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -63,7 +63,7 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.where, self.size = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int32)
+        self.keys, self.where, self.size = (np.zeros(1 << SLOT_BITS, t) for t in (np.uint64, np.int32, np.int32))
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def new(self, stretch: bytes) -> list[int]:
@@ -106,7 +106,7 @@ class Encoder:
     def _common(self, buf, offsets, raw):
         starts, stops = self.cuts(buf, offsets)
         h = runs(WHOLE[buf], starts, stops, BYTE_BASE) | np.uint64(1)
-        slot = (h >> np.uint64(64 - 20)).astype(np.int64)
+        slot = (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
         missing = np.flatnonzero(self.keys[slot] != h)
         extra_at, extra_size = None, None
         if len(missing):
@@ -123,10 +123,10 @@ class Encoder:
             where = self.used + np.cumsum(size) - size
             self.used += total
             extra_at, extra_size = where[place], size[place]
-        at, n = self.where[slot], self.size[slot].astype(np.int64)
+        at, n = self.where[slot].astype(np.int64), self.size[slot].astype(np.int64)
         if extra_at is not None:
             at[missing], n[missing] = extra_at, extra_size
-            s = (keys >> np.uint64(64 - 20)).astype(np.int64)
+            s = (keys >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
             self.keys[s], self.where[s], self.size[s] = keys, where, size
             # Of two new ones for a slot numpy keeps the last in each array alike.
         stop = np.cumsum(n)
@@ -135,6 +135,12 @@ class Encoder:
         return ids, np.diff(edge)
 
 
+@lru_cache(maxsize=1)
+def shared(path: str) -> Encoder:
+    """The encoder of this worker process, kept from task to task."""
+    return Encoder(path)
+
+
 WHOLE = np.arange(1, 257, dtype=np.uint64)
 
 

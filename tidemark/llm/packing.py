@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import settle
-from .encode import Encoder
+from .encode import shared
 from .words import column, mix, parts, texts
 
 CAPACITY, END = 4096, 1
@@ -33,7 +33,7 @@ PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigin
 
 def _cutter(path: str, capacity: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = shared(path)
         for batch in batches:
             buf, offsets = column(batch.column("text"))
             for a, b in parts(offsets):

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import shared_dir
-from .encode import Encoder
+from .encode import shared
 from .words import column, parts, texts
 
 SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES, PART_BYTES = 1000, 1 << 16, 1 << 15, 32 << 20
@@ -48,7 +48,7 @@ def train(docs: DataFrame, path: str, end: int, width: int) -> bytes:
     n = docs.select(F.lit(1)).count()
     share = min(1.0, 20 * SAMPLE / max(n, 1))
     rows = docs.where(F.octet_length("text") <= SAMPLE_BYTES).sample(share, seed=9).limit(SAMPLE).select("text").collect()
-    encoder, samples = Encoder(path), []
+    encoder, samples = shared(path), []
     for r in rows:
         buf = np.frombuffer(r.text.encode(), np.uint8)
         samples.append(np.append(encoder.encode(buf, np.array([0, len(buf)]))[0], end).astype(f"<u{width}").tobytes())
@@ -62,7 +62,7 @@ def _writer(path: str, end: int, width: int, dictionary: bytes):
     digest = hashlib.sha256(dictionary).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, compress, part, place = Encoder(path), _compressor(dictionary).compress, TaskContext.get().partitionId(), 0
+        encoder, compress, part, place = shared(path), _compressor(dictionary).compress, TaskContext.get().partitionId(), 0
         for batch in batches:
             buf, offsets = column(batch.column("text"))
             for a, b in parts(offsets):

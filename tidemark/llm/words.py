@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: Odd, so that they have inverses modulo 2**64; 5 modulo 8, so that their powers differ early.
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15 | 5, 0xD1342543DE82EF95 | 5
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
