@@ -254,8 +254,9 @@ def flip_book(closes: DataFrame, n: int, cost_bps: float = 10.0) -> DataFrame:
 
 
 def placebo(panel: DataFrame, runs: int = 20, seed: int = 0, by: Sequence[str] = ()) -> DataFrame:
-    """Random-sign signals, one row per run, from a hash of (symbol, period, run): the same on any cluster."""
-    sign = F.when(F.xxhash64("symbol", F.col("period").cast("string"), "run", F.lit(seed)) % 2 == 0, 1.0).otherwise(-1.0)
+    """Random-sign signals, one row per run: the parity of the first 32 bits of MD5 over symbol|period|run|seed, the same on any engine."""
+    draw = F.md5(F.concat_ws("|", "symbol", F.col("period").cast("string"), F.col("run").cast("string"), F.lit(str(seed))))
+    sign = F.when(F.conv(F.substring(draw, 1, 8), 16, 10).cast("bigint") % 2 == 0, 1.0).otherwise(-1.0)
     live = panel.withColumn("__live", lagged("returns", by).isNotNull())
     return (live.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs))))
             .withColumn("signal", F.when(F.col("__live"), sign)).drop("__live"))

@@ -147,12 +147,12 @@ def daily_impact(s, d, flag):
 
 
 def some_quotes(s, d):
-    """Quoted spreads of the years the quote archive covers, before 1999."""
-    return quoted_daily(s, d).filter(F.year("day") < 1999)
+    """Quoted spreads; brands that end in 5 are quoted in the first half of a year only, so that their other weeks need the median."""
+    return quoted_daily(s, d).filter(~F.endswith("symbol", F.lit("5")) | (F.month("day") <= 6))
 
 
 WEEKLY_COSTS = f"""
-WITH q AS (SELECT * FROM ({QUOTED}) WHERE year(day) < 1999),
+WITH q AS (SELECT * FROM ({QUOTED}) WHERE symbol NOT LIKE '%5' OR month(day) <= 6),
 book AS (SELECT symbol, day - (isodow(day) - 1)::INTEGER AS week_start, quantile_cont(half_spread_bps, 0.5) AS book, count(*) AS n_days_book FROM q GROUP BY 1, 2),
 imp AS (SELECT p_brand AS symbol, CAST(l_shipdate AS DATE) AS day, l_returnflag AS flag, avg(l_tax) AS x
         FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3),
@@ -206,7 +206,15 @@ def _(s, d):
     return C.fit_ladder(C.clean_sample(cost_sample(s, d)))
 
 
-@query("c11_cost_sample", "date band symbol liquidity~4 half_spread_bps~6 depth_1pct_usd~4")
+@query("c11_cost_sample", "date band symbol liquidity~4 half_spread_bps~6 depth_1pct_usd~4", f"""
+WITH ah AS (SELECT date, min(period) AS period FROM (VALUES (DATE '1997-03-10'), (DATE '1998-03-10'), (DATE '1999-03-10')) v(date) JOIN panel ON period >= date WHERE liquidity IS NOT NULL GROUP BY 1),
+lq AS (SELECT ah.date, p.symbol, p.liquidity, CASE WHEN liquidity >= 80000 THEN 0 WHEN liquidity >= 40000 THEN 1 ELSE 2 END AS band
+  FROM ah JOIN panel p ON p.period = ah.period WHERE liquidity >= 0),
+dr AS (SELECT *, row_number() OVER (PARTITION BY date, band ORDER BY md5(symbol || '|' || (date - DATE '1970-01-01')), symbol) AS n FROM lq),
+dp AS ({DEPTH.replace("SELECT symbol, quantile", "SELECT symbol, day, quantile").replace("GROUP BY 1, 2) GROUP BY 1", "GROUP BY 1, 2) GROUP BY 1, 2")})
+SELECT dr.date, band, dr.symbol, liquidity, (SELECT avg(q.half_spread_bps) FROM ({QUOTED}) q WHERE q.symbol = dr.symbol AND q.day >= dr.date AND q.day < dr.date + 7) AS half_spread_bps,
+  (SELECT avg(depth_1pct_usd) FROM dp WHERE dp.symbol = dr.symbol AND dp.day >= dr.date AND dp.day < dr.date + 7) AS depth_1pct_usd
+FROM dr WHERE n <= band + 2""")
 def _(s, d):
     p = stored_panel(s, d)
     dates = p.select(F.explode(F.array(*[F.to_date(F.lit(x)) for x in ("1997-03-10", "1998-03-10", "1999-03-10")])).alias("date")).distinct()
@@ -214,7 +222,9 @@ def _(s, d):
     at = p.select("symbol", "period", "liquidity").join(ahead, "period").filter(F.col("liquidity").isNotNull())
     drawn = C.stratified(at, seed=F.unix_date("date"), by=("date",),
                          bands=((80000.0, float("inf"), 2), (40000.0, 80000.0, 3), (0.0, 40000.0, 4)))
-    return drawn.join(cost_sample(s, d).drop("liquidity"), "symbol", "left")
+    spread = quoted_daily(s, d).select("symbol", "day", "half_spread_bps")
+    depth = C.depth_one_percent(depth_books(s, d), ["symbol", "at"]).withColumnRenamed("at", "day")
+    return C.measured_after(C.measured_after(drawn, spread, ["half_spread_bps"]), depth, ["depth_1pct_usd"])
 
 
 # Books ------------------------------------------------------------------------------------------------------
@@ -491,6 +501,13 @@ def _(s, d):
     return S.flip_book(closes(s, d), 2)
 
 
+@query("gt15_placebo_signs", "run symbol period signal~1", """
+SELECT run, symbol, period, CASE WHEN live THEN CASE WHEN ('0x' || substr(md5(symbol || '|' || period || '|' || run || '|0'), 1, 8))::BIGINT % 2 = 0 THEN 1.0 ELSE -1.0 END END AS signal
+FROM (SELECT *, lag(returns) OVER (PARTITION BY symbol ORDER BY period) IS NOT NULL AS live FROM panel), range(1, 21) r(run)""")
+def _(s, d):
+    return S.placebo(panel(s, d))
+
+
 @query("gt15_placebo", "run periods sharpe~6")
 def _(s, d):
     from ..functions import moments as M
