@@ -37,12 +37,28 @@ def collected(s, stream, mode="append"):
     return s.read.parquet(f"{at}/out")
 
 
-def carried(s, stream, step):
+PARTS = 4
+
+
+def carried(s, df, part, step):
+    """df arriving in PARTS deliveries, each a micro-batch of one stream that starts from the state of the one before."""
     at = work(s)
-    T.carried(stream, step, f"{at}/out", f"{at}/state", f"{at}/log").awaitTermination()
+    for k in range(PARTS):
+        df.filter(part == k).write.mode("append").parquet(f"{at}/in")
+        T.carried(T.folder(s, f"{at}/in", df.schema), step, f"{at}/out", f"{at}/state", f"{at}/log").awaitTermination()
     return s.read.parquet(f"{at}/out")
 
 
+def delivered(s, d):
+    """Events with the delivery they come in: a quarter of January each, every 50th event a delivery late."""
+    e = V.table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    due = F.least(F.floor((F.dayofmonth("ts") - 1) / 8), F.lit(PARTS - 1))
+    return e, due, F.least(due + (F.col("event_id") % 50 == 7).cast("bigint"), F.lit(PARTS - 1))
+
+
+DUE = f"least((day(ts) - 1) // 8, {PARTS - 1})"
+
+
 @query("t1_replay_order", "instrument t kind seq position", """
 SELECT instrument, t, kind, seq, row_number() OVER (PARTITION BY instrument ORDER BY t, b, seq) AS position FROM (
   SELECT instrument, t, seq, 'trade' AS kind, 0 AS b FROM fills UNION ALL SELECT instrument, t, 0, 'mark_kline', 1 FROM marks)""")
@@ -51,25 +67,44 @@ def _(s, d):
     return mark_events(s, d).withColumn("position", F.row_number().over(Window.partitionBy("instrument").orderBy(*order)))
 
 
-@query("t2_merged_streams", "source n", """
-SELECT 'orders' AS source, count(*) AS n FROM orders UNION ALL SELECT 'events', count(*) FROM events""")
+@query("t2_merged_streams", "batch day n", f"""
+WITH x AS (SELECT *, event_id % 2 = 0 AS fast, {DUE} AS part FROM events),
+w AS (SELECT k AS batch, least((SELECT max(ts) FROM x WHERE fast), (SELECT max(ts) FROM x WHERE NOT fast AND part < k)) AS mark FROM range(1, {PARTS + 1}) r(k)),
+days AS (SELECT date_trunc('day', ts)::DATE AS day, count(*) AS n FROM x GROUP BY 1)
+SELECT * FROM (SELECT (SELECT min(batch) FROM w WHERE days.day + 1 <= w.mark) AS batch, day, n FROM days) WHERE batch IS NOT NULL""")
 def _(s, d):
-    o = T.folder(s, d, V.table(s, d, "orders").schema, "orders.parquet").select(F.lit("orders").alias("source"), F.col("o_orderdate").cast("timestamp").alias("ts"))
-    e = events_stream(s, d).select(F.lit("events").alias("source"), F.col("ts").cast("timestamp").alias("ts"))
-    return collected(s, T.merged([o, e], "ts", "1 day")).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    # One feed is all there at once, the other comes a quarter a batch: a day is final in the batch after the one where the slower feed has passed it.
+    e, due, _ = delivered(s, d)
+    at, fast, files = work(s), F.col("event_id") % 2 == 0, 8
+    e.filter(fast).repartition(files).write.parquet(f"{at}/fast")
+    for k in range(PARTS):
+        e.filter(~fast & (due == k)).repartition(files).write.mode("append").parquet(f"{at}/slow")
+    both = [T.folder(s, f"{at}/{feed}", e.schema, files=files).select("ts") for feed in ("fast", "slow")]
+    days = T.merged(both, "ts", "0 seconds").groupBy(F.window("ts", "1 day").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+
+    def keep(rows, batch):
+        rows.select(F.lit(batch).cast("bigint").alias("batch"), F.col("w.start").cast("date").alias("day"), "n").write.mode("overwrite").parquet(f"{at}/out/epoch={batch}")
+
+    days.writeStream.foreachBatch(keep).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(f"{at}/out").drop("epoch")
 
 
-@query("t3_late_rows", "event_id late", "SELECT event_id, false AS late FROM events")
+@query("t3_late_rows", "event_id late", f"""
+WITH x AS (SELECT event_id, user_id, ts, least({DUE} + (event_id % 50 = 7)::INT, {PARTS - 1}) AS part FROM events)
+SELECT event_id, ts < coalesce((SELECT max(y.ts) FROM x y WHERE y.user_id = x.user_id AND y.part < x.part), ts) AS late FROM x""")
 def _(s, d):
-    return carried(s, events_stream(s, d).withColumn("ts", F.col("ts").cast("timestamp")), T.late_step(["user_id"], "ts"))
+    e, _, part = delivered(s, d)
+    return carried(s, e, part, T.late_step(["user_id"], "ts"))
 
 
 @query("t4_sequence_gaps", "stream gaps n", """
 SELECT (user_id % 10)::VARCHAR AS stream, count(*) FILTER (event_id <> p + 1) AS gaps, count(*) AS n FROM (
   SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id % 10 ORDER BY event_id) AS p FROM events) GROUP BY 1""")
 def _(s, d):
-    e = events_stream(s, d).select((F.col("user_id") % 10).cast("string").alias("stream"), "event_id")
-    out = carried(s, e, T.gap_step(["stream"], ["event_id"], "event_id", 4096))
+    e = V.table(s, d, "events").select((F.col("user_id") % 10).cast("string").alias("stream"), "event_id")
+    # Ids come in order, in PARTS ranges.
+    top = e.agg(F.max("event_id")).first()[0] + 1
+    out = carried(s, e, F.floor(F.col("event_id") * PARTS / F.lit(top)), T.gap_step(["stream"], ["event_id"], "event_id", 4096))
     return out.groupBy("stream").agg(F.count_if("gap").alias("gaps"), F.count(F.lit(1)).alias("n"))
 
 
@@ -95,19 +130,19 @@ WITH RECURSIVE e AS (SELECT user_id, ts FROM events), k AS (
   WHERE (SELECT min(e.ts) FROM e WHERE e.user_id = k.user_id AND e.ts >= k.ts + INTERVAL 24 HOUR) IS NOT NULL)
 SELECT user_id, ts FROM k""")
 def _(s, d):
-    e = events_stream(s, d).select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    return carried(s, e, T.thin_step(24 * HOUR, ["user_id"], "ts"))
+    e, due, _ = delivered(s, d)
+    return carried(s, e.select("user_id", "ts"), due, T.thin_step(24 * HOUR, ["user_id"], "ts"))
 
 
 @query("t7_running_positions", "account instrument seq position~4 cash~3", """
-SELECT account, instrument, seq, sum(q) OVER w AS position, sum(-(q * price + fee)) OVER w AS cash FROM (
+SELECT account, instrument, seq, sum(q) OVER w AS position, sum(-(q * price + fee)) OVER (PARTITION BY account ORDER BY t, seq ROWS UNBOUNDED PRECEDING) AS cash FROM (
   SELECT o_orderpriority AS account, o_orderstatus AS instrument, CAST(o_orderdate AS DATE) AS t, o_orderkey AS seq, CASE WHEN o_orderkey % 2 = 0 THEN 1.0 ELSE -1.0 END AS q, o_totalprice / 1000 AS price, 0.1 AS fee FROM orders)
 WINDOW w AS (PARTITION BY account, instrument ORDER BY t, seq ROWS UNBOUNDED PRECEDING)""")
 def _(s, d):
-    o = T.folder(s, d, V.table(s, d, "orders").schema, "orders.parquet")
+    o = V.table(s, d, "orders")
     f = o.select(F.col("o_orderpriority").alias("account"), F.col("o_orderstatus").alias("instrument"), F.col("o_orderdate").cast("date").alias("t"), F.col("o_orderkey").alias("seq"),
                  F.when(F.col("o_orderkey") % 2 == 0, "buy").otherwise("sell").alias("side"), F.lit(1.0).alias("qty"), (F.col("o_totalprice") / 1000).alias("price"), F.lit(0.1).alias("fee"))
-    return carried(s, f, T.position_step())
+    return carried(s, f, F.least(F.greatest(F.year("t") - 1995, F.lit(0)), F.lit(PARTS - 1)), T.position_step())
 
 
 @query("t8_kind_filter", "event_id kind", "SELECT event_id, event_type AS kind FROM events WHERE event_type IN ('click', 'purchase')")

@@ -9,6 +9,7 @@ and a replayed epoch reads the same state and overwrites the same output.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -70,7 +71,11 @@ class Carry:
         return spark.read.parquet(f"{self.path}/epoch={epoch - 1}") if epoch > 0 else None
 
     def save(self, state: DataFrame, epoch: int) -> None:
+        """Also drops the epoch that no replay can start from any more: a replayed epoch needs the one before it."""
         state.write.mode("overwrite").parquet(f"{self.path}/epoch={epoch}")
+        sc = state.sparkSession.sparkContext
+        old = sc._jvm.org.apache.hadoop.fs.Path(f"{self.path}/epoch={epoch - 2}")
+        old.getFileSystem(sc._jsc.hadoopConfiguration()).delete(old, True)
 
 
 Step = Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame]]
@@ -135,19 +140,22 @@ def late_step(keys: Sequence[str], at: str) -> Step:
 
 
 def position_step() -> Step:
-    """Running position and cash per account over fills: state is each slot's position and cash so far."""
+    """Running position per slot and cash per account over fills: state is both so far, cash as a row of no instrument."""
     def step(batch, before):
         fills = batch.select("account", "instrument", "t", "seq", L.signed().alias("dq"), (-(L.signed() * F.col("price") + F.col("fee"))).alias("dc"))
-        rows = scan(fills, L.SLOT, ["t", "seq"], F.floor(micros(fills, "t") / F.lit(32 * L.DAY)),
-                    sums={"position": F.col("dq"), "cash": F.col("dc")})
-        total = fills.groupBy(*L.SLOT).agg(F.sum("dq").alias("position"), F.sum("dc").alias("cash"))
+        where = F.floor(micros(fills, "t") / F.lit(32 * L.DAY))
+        rows = scan(fills, L.SLOT, ["t", "seq"], where, sums={"position": F.col("dq")})
+        rows = scan(rows, ["account"], ["t", "seq"], where, sums={"cash": F.col("dc")})
+        state = fills.groupBy(*L.SLOT).agg(F.sum("dq").alias("amount")).withColumn("what", F.lit("position")).unionByName(
+            fills.groupBy("account").agg(F.sum("dc").alias("amount")).select("account", F.lit(None).cast("string").alias("instrument"), "amount", F.lit("cash").alias("what")))
         if before is not None:
-            b = before.select(*L.SLOT, F.col("position").alias("__p"), F.col("cash").alias("__c"))
-            z = lambda c: F.coalesce(c, F.lit(0.0))
-            rows = (rows.join(b, L.SLOT, "left").withColumn("position", F.col("position") + z("__p"))
-                    .withColumn("cash", F.col("cash") + z("__c")).drop("__p", "__c"))
-            total = total.unionByName(before).groupBy(*L.SLOT).agg(F.sum("position").alias("position"), F.sum("cash").alias("cash"))
-        return rows.drop("dq", "dc"), total
+            so_far = lambda what, *keys: before.filter(F.col("what") == what).select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("amount").alias(f"__{what}"))
+            same = lambda *keys: reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+            plus = lambda c: F.col(c) + F.coalesce(f"__{c}", F.lit(0.0))
+            rows = rows.join(so_far("position", *L.SLOT), same(*L.SLOT), "left").withColumn("position", plus("position")).drop(*[f"__{k}" for k in L.SLOT])
+            rows = rows.join(so_far("cash", "account"), same("account"), "left").withColumn("cash", plus("cash")).drop("__account", "__position", "__cash")
+            state = state.unionByName(before).groupBy(*L.SLOT, "what").agg(F.sum("amount").alias("amount"))
+        return rows.drop("dq", "dc"), state
 
     return step
 
