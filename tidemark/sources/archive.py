@@ -11,8 +11,8 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from ..functions.columns import DAY
 from ..operators.ordered import scan
+from ..session import settle
 from . import fields as X
 
 # Columns of each dataset's files, and the column holding base-asset volume per market.
@@ -25,19 +25,31 @@ FILE_STAMP = r"([0-9]{4}-[0-9]{2}(?:-[0-9]{2})?)\.(?:zip|csv)$"
 FILE_SYMBOL = r"([^/]+?)-[^/-]+-[0-9]{4}-[0-9]{2}(?:-[0-9]{2})?\.(?:zip|csv)$"
 
 
-def lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """(file, pos, line) of plain text files; large files split over tasks, and pos still orders their lines."""
-    t = spark.read.text(paths if isinstance(paths, str) else list(paths), recursiveFileLookup=True, pathGlobFilter="*.csv")
+def lines(spark: SparkSession, paths: str | Sequence[str], first: str | None = None, last: str | None = None) -> DataFrame:
+    """(file, pos, line) of plain text files; large files split over tasks, and pos still orders their lines.
+
+    With first and last, days, only files whose name stamp starts within them are opened; the names come from the listing.
+    """
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    if first is not None or last is not None:
+        names = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(paths).select(F.col("path").alias("file"))
+        paths = [r.file for r in files_between(names, first or "0001-01-01", last or "9999-12-31").collect()]
+        if not paths:
+            return spark.createDataFrame([], "file string, pos struct<start:bigint,n:bigint>, line string")
+    t = spark.read.text(paths, recursiveFileLookup=True, pathGlobFilter="*.csv")
     return t.select(F.col("_metadata.file_path").alias("file"),
                     F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n")).alias("pos"),
                     F.col("value").alias("line"))
 
 
-def zipped_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, pos, line) of zip files holding one CSV each, one task per file."""
+def zipped_lines(spark: SparkSession, path: str, first: str = "", last: str = "~") -> DataFrame:
+    """(file, pos, line) of zip files holding one CSV each, small ones packed into tasks; line is NULL where a file cannot be read.
+
+    first and last bound the stamps of file names as text; other files are not opened.
+    """
     from .zipped import ZippedCsv
     spark.dataSource.register(ZippedCsv)
-    z = spark.read.format("zipped_csv").load(path)
+    z = spark.read.format("zipped_csv").option("first", first).option("last", last).load(path)
     return z.select("file", F.struct(F.lit(0).cast("bigint").alias("start"), F.col("n")).alias("pos"), "line")
 
 
@@ -74,7 +86,7 @@ def interval_seconds(interval: Column) -> Column:
 
 def classify(raw: DataFrame, pattern: str, fields: dict[str, Column], ts: str, epochs: Sequence[str] = (),
              extra: Column | None = None, optional: Sequence[str] = ()) -> DataFrame:
-    """raw with typed fields, ts_ns and status: parsed or rejected, header or blank.
+    """raw with typed fields, ts_ns and status: parsed or rejected, header or blank, or failed where there is no line.
 
     pattern judges a row's shape in one pass, so fields are plain casts. ts names
     the field that stamps the row; epochs are raw stamps scaled to nanoseconds.
@@ -94,7 +106,7 @@ def classify(raw: DataFrame, pattern: str, fields: dict[str, Column], ts: str, e
     if extra is not None:
         ok = ok & extra
     head = F.substring(F.col("line"), 1, 1)
-    judged = typed.withColumn("status", F.when(F.col("line") == "", "blank").when(~head.between("0", "9"), "header")
+    judged = typed.withColumn("status", F.when(F.col("line").isNull(), "failed").when(F.col("line") == "", "blank").when(~head.between("0", "9"), "header")
                               .when(F.coalesce(ok, F.lit(False)), "parsed").otherwise("rejected"))
     good = F.col("status") == "parsed"
     value = lambda n: F.when(good, X.scaled(v(n)) if n in epochs else v(n))
@@ -192,34 +204,41 @@ def read_book_depth(raw: DataFrame) -> DataFrame:
                     "rows", side("__b").alias("bids"), side("__a").alias("asks"))
 
 
-def quality_report(rows: DataFrame, keys: Sequence[str] = ("stream",), sequence: str | None = None) -> DataFrame:
-    """Per stream: header, blank, parsed and rejected rows, backwards and repeated stamps, and gaps in a sequence column.
+def quality_report(rows: DataFrame, keys: Sequence[str] = ("stream",), sequence: str | None = None, planned: DataFrame | None = None) -> DataFrame:
+    """Per stream: files seen and failed, header, blank, parsed and rejected rows, backwards and repeated stamps, and gaps in a sequence column.
 
-    Stamps and ids are compared with the parsed row before in file order. A
-    hot stream is cut by file, and a large file by where its splits start; only
-    each piece's last values cross over.
+    planned (keys, file[, expected]) adds planned and missing files and the rows expected of them. Stamps and ids are compared
+    with the parsed row before in file order. A hot stream is cut by file, and a large file by where its splits start; only each piece's last values
+    cross over. The text is parsed once: what the report needs of each row is stored.
     """
     keys = list(keys)
-    counts = rows.groupBy(*keys).agg(*[F.count_if(F.col("status") == s).alias(f"{s}_rows") for s in ("header", "blank", "parsed", "rejected")],
-                                     F.count_distinct("file").alias("files"))
+    rows = settle(rows.select(*keys, "file", "pos", "status", "ts_ns", *([sequence] if sequence else [])))
+    by_file = rows.groupBy(*keys, "file").agg(*[F.count_if(F.col("status") == s).alias(f"{s}_rows") for s in ("header", "blank", "parsed", "rejected", "failed")])
+    counts = by_file.groupBy(*keys).agg(*[F.sum(f"{s}_rows").alias(f"{s}_rows") for s in ("header", "blank", "parsed", "rejected")],
+                                        F.count(F.lit(1)).alias("files"), F.count_if(F.col("failed_rows") > 0).alias("failed_files"))
     good = rows.filter(F.col("status") == "parsed")
     lasts = {"__t": F.col("ts_ns")} | ({"__q": F.col(sequence)} if sequence else {})
-    order = ["file", "pos"]
     before = {f"{n}p": n for n in lasts}
     split = F.col("pos.start") if isinstance(rows.schema["pos"].dataType, T.StructType) else F.floor(F.col("pos") / F.lit(1 << 20))
-    seen = scan(good, keys, order, F.struct("file", split.alias("split")), lasts=lasts, before=before)
+    seen = scan(good, keys, ["file", "pos"], F.struct("file", split.alias("split")), lasts=lasts, before=before)
     aggs = [F.count_if(F.col("ts_ns") < F.col("__tp")).alias("backwards_stamps"), F.count_if(F.col("ts_ns") == F.col("__tp")).alias("repeated_stamps")]
     if sequence:
         aggs.append(F.count_if(F.col(sequence) != F.col("__qp") + 1).alias("sequence_gaps"))
-    order_stats = seen.groupBy(*keys).agg(*aggs)
-    out = counts.join(order_stats, keys, "left")
+    out = counts.join(seen.groupBy(*keys).agg(*aggs), keys, "left")
+    if planned is not None:
+        name = lambda c: F.regexp_extract(c, r"([^/]+)$", 1)
+        had = by_file.select(*keys, name("file").alias("__name"), F.lit(True).alias("__had")).distinct()
+        plan = planned.withColumn("__name", name("file")).join(had, [*keys, "__name"], "left")
+        expected = F.sum("expected") if "expected" in planned.columns else F.lit(None).cast("bigint")
+        out = plan.groupBy(*keys).agg(F.count(F.lit(1)).alias("planned_files"), F.count_if(F.col("__had").isNull()).alias("missing_files"),
+                                      expected.alias("expected_rows")).join(out, keys, "left")
     return out.fillna(0)
 
 
 def ingest(raw: DataFrame, read: Callable[[DataFrame], DataFrame], good: str, rejects: str, dataset: str) -> None:
     """Writes typed rows to the lake at good, partitioned by dataset, year and month, and rejected lines to rejects."""
     from .lake import write
-    rows = read(raw)
+    rows = settle(read(raw))
     parsed = (rows.filter(F.col("status") == "parsed").withColumn("t", X.stamp(F.col("ts_ns")))
               .withColumn("dataset", F.lit(dataset)).drop("line", "status", "pos", "file"))
     write(parsed, good)

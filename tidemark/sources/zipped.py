@@ -1,4 +1,4 @@
-"""A batch source over zip archives holding one CSV each: one input partition per file, on any Arrow file system."""
+"""A batch source over zip archives holding one CSV each, small files packed into tasks by size, on any Arrow file system."""
 from __future__ import annotations
 
 import re
@@ -6,10 +6,14 @@ import re
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.path = path
+# A task reads files of about so many bytes in all, or one larger file; a record batch holds so many lines.
+TASK_BYTES, BATCH_LINES = 64 << 20, 50_000
+
+
+class _Files(InputPartition):
+    def __init__(self, paths: list[str]):
+        super().__init__(paths[0])
+        self.paths = paths
 
 
 def _open(uri: str):
@@ -26,30 +30,55 @@ class _Reader(DataSourceReader):
     def partitions(self):
         from pyarrow import fs
         files, root = _open(self.uri)
-        if files.get_file_info(root).type == fs.FileType.Directory:
-            names = [i.path for i in files.get_file_info(fs.FileSelector(root, recursive=True)) if i.path.endswith(".zip")]
-        else:
-            names = [root]
+        found = [files.get_file_info(root)]
+        if found[0].type == fs.FileType.Directory:
+            found = [i for i in files.get_file_info(fs.FileSelector(root, recursive=True)) if i.path.endswith(".zip")]
         stamp = lambda n: (re.findall(r"(\d{4}-\d{2}(?:-\d{2})?)\.zip$", n) or [""])[0]
         # Files outside the wanted span are never opened.
-        return [_File(n) for n in sorted(names) if self.first <= stamp(n) <= self.last]
+        wanted = sorted((i for i in found if self.first <= stamp(i.path) <= self.last), key=lambda i: i.path)
+        packs, size = [], TASK_BYTES
+        for i in wanted:
+            if size + (i.size or 0) > TASK_BYTES:
+                packs.append([])
+                size = 0
+            packs[-1].append(i.path)
+            size += i.size or 0
+        return [_Files(p) for p in packs]
 
     def read(self, partition):
+        files, _ = _open(self.uri)
+        for path in partition.paths:
+            yield from self._lines(files, path)
+
+    def _lines(self, files, path):
+        """Record batches of one file's lines, as they are unpacked; where it cannot be read on, a row without a line."""
         import io
         import zipfile
-        files, _ = _open(self.uri)
-        # Streams the entry line by line, so a file larger than a task's memory still reads.
-        with files.open_input_file(partition.path) as raw, zipfile.ZipFile(raw) as z:
-            entry = next((n for n in z.namelist() if n.endswith(".csv")), None)
-            if entry is None:
-                return
-            with z.open(entry) as f:
-                for n, line in enumerate(io.TextIOWrapper(f, "utf-8", newline="\n")):
-                    yield partition.path, n, line.rstrip("\n").removesuffix("\r")
+        import zlib
+
+        import pyarrow as pa
+        made = lambda at, lines: pa.RecordBatch.from_arrays([pa.array([path] * len(lines)), pa.array(range(at, at + len(lines)), pa.int64()), pa.array(lines, pa.string())],
+                                                            names=["file", "n", "line"])
+        at = 0
+        try:
+            with files.open_input_file(path) as raw, zipfile.ZipFile(raw) as z:
+                entry = next(n for n in z.namelist() if n.endswith(".csv"))
+                with z.open(entry) as f:
+                    lines = []
+                    for line in io.TextIOWrapper(f, "utf-8", newline="\n"):
+                        lines.append(line.rstrip("\n").removesuffix("\r"))
+                        if len(lines) == BATCH_LINES:
+                            yield made(at, lines)
+                            at, lines = at + len(lines), []
+                    if lines:
+                        yield made(at, lines)
+        except (zipfile.BadZipFile, zlib.error, EOFError, StopIteration, UnicodeDecodeError, pa.ArrowInvalid):
+            yield made(at, [None])
 
 
 class ZippedCsv(DataSource):
-    """format("zipped_csv").load(path); options first and last prune files by the stamp in their names."""
+    """format("zipped_csv").load(path); options first and last prune files by the stamp in their names. A file that is no zip, holds no CSV or breaks off
+    has one row without a line, after the lines that could be read."""
 
     @classmethod
     def name(cls):
