@@ -32,7 +32,23 @@ def op8(spark, sf_dir):
                          (~F.col("base_failed") & F.col("good")).alias("kept"), "quality")
 
 
-@query("op2_decontamination")
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SPACED = r"'[^\x20\x09-\x0D]+'"
+
+
+@query("op2_decontamination", rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+i AS (SELECT item_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+n AS (SELECT item_id, ws, least(13, len(ws)) AS n FROM i WHERE len(ws) > 0),
+w AS (SELECT DISTINCT item_id, n, md5(array_to_string(ws[k:k + n - 1], ' ')) AS h FROM (SELECT *, unnest(range(1, len(ws) - n + 2)) AS k FROM n)),
+s AS (SELECT DISTINCT n FROM w),
+g AS (SELECT row, k, n, md5(array_to_string(ws[k:k + n - 1], ' ')) AS h FROM (SELECT row, ws, n, unnest(range(1, len(ws) - n + 2)) AS k FROM d, s WHERE len(ws) >= n)),
+hits AS (SELECT row, k, g.n, item_id FROM g JOIN w ON w.h = g.h AND w.n = g.n),
+c AS (SELECT row, count(DISTINCT p) AS n_hit FROM (SELECT row, unnest(range(k, k + n)) AS p FROM (SELECT DISTINCT row, k, n FROM hits)) GROUP BY 1),
+m AS (SELECT row, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS names FROM (SELECT DISTINCT row, item_id FROM hits WHERE item_id IS NOT NULL) GROUP BY 1)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN c USING (row) LEFT JOIN m USING (row)""")
 def op2(spark, sf_dir):
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     names = F.concat_ws(",", F.sort_array(F.transform("items", lambda i: i.cast("string"))))
@@ -45,13 +61,30 @@ def op10(spark, sf_dir):
     return ngrams.score(table(spark, sf_dir, "documents"), fold != 2)
 
 
-@query("op5_substring_dedup")
+@query("op5_substring_dedup", rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), {SPACED}) AS ws FROM documents),
+g AS (SELECT row, k, md5(array_to_string(ws[k:k + 34], ' ')) AS h FROM (SELECT row, ws, unnest(range(1, len(ws) - 33)) AS k FROM d WHERE len(ws) >= 35)),
+r AS (SELECT row, k FROM g JOIN (SELECT h FROM g GROUP BY 1 HAVING count(*) > 1) x USING (h)),
+c AS (SELECT DISTINCT row, unnest(range(k, k + 35)) AS p FROM r),
+gone AS (SELECT row, count(*) AS n_removed FROM c GROUP BY 1),
+kept AS (SELECT u.row, string_agg(word, ' ' ORDER BY u.p) AS text FROM (SELECT row, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM d) u
+  LEFT JOIN c ON c.row = u.row AND c.p = u.p WHERE c.p IS NULL GROUP BY 1)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN gone USING (row) LEFT JOIN kept USING (row)""")
 def op5(spark, sf_dir):
     found = substrings.repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-@query("op7_near_dedup")
+@query("op7_near_dedup", rf"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({LOWERED}, {SPACED}) AS ws FROM documents),
+s AS (SELECT DISTINCT row, md5(array_to_string(ws[k:k + 2], ' ')) AS g FROM (SELECT row, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS k FROM d WHERE len(ws) > 0)),
+z AS (SELECT row, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.row AS x, b.row AS y, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.row <> b.row GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN z a ON a.row = x JOIN z b ON b.row = y WHERE 100 * shared >= 85 * (a.n + b.n - shared)),
+r AS (SELECT row AS x, row AS y FROM d UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y),
+c AS (SELECT r.x AS row, min(d.doc_id) AS component_id FROM r JOIN d ON d.row = r.y GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept FROM d JOIN c USING (row) LEFT JOIN z USING (row)""")
 def op7(spark, sf_dir):
     return near.near_duplicates(table(spark, sf_dir, "documents")).drop("row_key")
 
