@@ -153,17 +153,23 @@ def price_at_last(orders: DataFrame, prices: DataFrame, fee_rate: float = TAKER_
             .withColumn("fee", F.col("fill") * F.col("qty") * F.lit(fee_rate)))
 
 
-def sized_orders(targets: DataFrame, max_qty: float, order: Sequence[str] = ("t", "seq"), block: int = 32 * DAY) -> DataFrame:
+def sized_orders(targets: DataFrame, max_qty: float, order: Sequence[str] = ("t", "seq"), block: int = 32 * DAY, breaches: DataFrame | None = None) -> DataFrame:
     """Targets (account, instrument, t, seq, target) to orders: clamped target, delta to the clamped target before, side, outcome.
 
-    Assumes orders fill, so the position is the clamped target before.
+    Assumes orders fill, so the position is the clamped target before. After its account's breach_t in breaches, as from drawdown_breach, a
+    target is Rejected and has no order.
     """
     t = targets.withColumn("clamped", clip("target", -max_qty, max_qty))
     t = previous(t, SLOT, list(order), _block(t, "t", block), {"__was": F.col("clamped")})
     t = t.withColumn("delta", F.col("clamped") - F.coalesce("__was", F.lit(0.0))).drop("__was")
+    outcome = F.when(F.col("clamped") == F.col("target"), "Approved").otherwise("Resized")
+    if breaches is not None:
+        b = breaches.select(F.col("account").alias("__account"), "breach_t")
+        t = t.join(b, F.col("account").eqNullSafe(F.col("__account")), "left").withColumn("__out", F.coalesce(F.col("t") > F.col("breach_t"), F.lit(False)))
+        t = t.withColumn("delta", F.when(~F.col("__out"), F.col("delta")))
+        outcome = F.when(F.col("__out"), "Rejected").otherwise(outcome)
     return (t.withColumn("side", F.when(F.col("delta") > 0, "buy").when(F.col("delta") < 0, "sell"))
-            .withColumn("qty", F.abs("delta"))
-            .withColumn("outcome", F.when(F.col("clamped") == F.col("target"), "Approved").otherwise("Resized")))
+            .withColumn("qty", F.abs("delta")).withColumn("outcome", outcome).drop("__account", "__out", "breach_t"))
 
 
 def carry_targets(prints: DataFrame, entry: float, exit_: float, qty: float, block: int = 32 * DAY) -> DataFrame:

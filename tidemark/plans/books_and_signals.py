@@ -302,6 +302,13 @@ def _(s, d):
     return K.gap_contribution(trend_weights(s, d))
 
 
+@query("k9_large_gaps", "symbol period gap~8 weight~8 booked~8", """
+SELECT symbol, period, gap, weight, weight * (exp(gap) - 1) AS booked FROM hw WHERE abs(gap) > ln(1.05)""")
+def _(s, d):
+    # Half of the price moves in few gaps of this data, a twentieth in many.
+    return K.large_gaps(trend_weights(s, d), beyond=0.05)
+
+
 @query("r13_exposure", "lookback mean_held~8 share_flat~8 mean_names~8 periods", """
 SELECT lookback, avg(g) AS mean_held, avg(CASE WHEN g = 0 THEN 1.0 ELSE 0.0 END) AS share_flat, avg(n) AS mean_names, count(*) AS periods FROM (
   SELECT *, min(period) FILTER (g > 0) OVER (PARTITION BY lookback) AS start FROM (

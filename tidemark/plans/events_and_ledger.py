@@ -268,6 +268,18 @@ def _(s, d):
     return L.sized_orders(V.fills(s, d).withColumn("target", L.signed()), 3.0)
 
 
+@query("l9_rejected_orders", "account instrument seq delta~4 side qty~4 outcome", """
+WITH b AS (SELECT account, min(t) AS breach_t FROM (SELECT *, greatest(max(cash + value) OVER (PARTITION BY account ORDER BY t), 0) - cash - value AS fall FROM eq) WHERE fall >= 500 GROUP BY 1),
+o AS (SELECT account, instrument, seq, t, target, c, c - coalesce(lag(c) OVER (PARTITION BY account, instrument ORDER BY t, seq), 0) AS m FROM (
+  SELECT *, least(greatest(target, -3.0), 3.0) AS c FROM (SELECT *, CASE WHEN side = 'buy' THEN qty ELSE -qty END AS target FROM fills))),
+r AS (SELECT o.*, coalesce(t > breach_t, false) AS gone FROM o LEFT JOIN b ON b.account = o.account)
+SELECT account, instrument, seq, CASE WHEN NOT gone THEN m END AS delta, CASE WHEN gone OR m = 0 THEN NULL WHEN m > 0 THEN 'buy' ELSE 'sell' END AS side,
+  CASE WHEN NOT gone THEN abs(m) END AS qty, CASE WHEN gone THEN 'Rejected' WHEN c = target THEN 'Approved' ELSE 'Resized' END AS outcome FROM r""", ctes=EQUITY)
+def _(s, d):
+    breaches = L.drawdown_breach(settle(equity(s, d)), 500.0)
+    return L.sized_orders(V.fills(s, d).withColumn("target", L.signed()), 3.0, breaches=breaches)
+
+
 @query("l10_carry_targets", "symbol t rate~10 market target~2", """
 WITH h AS (SELECT symbol, t, funding_rate AS rate, coalesce(last_value(CASE WHEN funding_rate >= 0.00005 THEN 2.0 WHEN funding_rate <= -0.00005 THEN 0.0 END IGNORE NULLS)
   OVER (PARTITION BY symbol ORDER BY t ROWS UNBOUNDED PRECEDING), 0) AS q FROM prints)
