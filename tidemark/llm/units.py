@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from .words import texts
 
 #: A range gets what some units hold, so that both sides fit a task and rows between them are not tiny.
-UNIT_BYTES, UNITS_IN_RANGE = 4 << 20, 6
+UNIT_BYTES, UNITS_IN_RANGE = 8 << 20, 3
 
 
 @dataclass
