@@ -12,6 +12,9 @@ from tidemark.llm import decontaminate, near, packing, quality, substrings
 from tidemark.session import settle
 
 
+SPREAD = 64
+
+
 def row_key():
     return F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
 
@@ -22,6 +25,15 @@ def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return docs.join(gone, (row_key() == F.col("__gone_key")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("__gone_id")), "left_anti")
 
 
+def one_of_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row of docs for each of a table of (doc_id, row_key). Copies first meet by SPREAD, so a row that fills the corpus is no single task."""
+    wanted = rows.select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key"), F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("__part"))
+    dealt = docs.select("*", F.col("doc_id").cast("bigint").alias("__own_id"), row_key().alias("__own_key"), F.pmod(F.spark_partition_id(), F.lit(SPREAD)).alias("__own_part"))
+    match = F.col("__own_id").eqNullSafe(F.col("__id")) & (F.col("__own_key") == F.col("__key")) & (F.col("__own_part") == F.col("__part"))
+    some = dealt.join(wanted, match, "left_semi").dropDuplicates(["__own_id", "__own_key", "__own_part"])
+    return some.dropDuplicates(["__own_id", "__own_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rules nor the label model rejects."""
     judged = quality.judge(docs)
@@ -29,8 +41,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near-duplicates."""
-    return without(docs, near.near_duplicates(docs).where("not kept"))
+    """One row of each group of near-duplicates: that with the least id, and the least row_key under it; of rows equal in both, any one."""
+    extra = settle(near.surplus(docs))
+    left, again = without(docs, extra), extra.where("again")
+    return left if again.isEmpty() else left.unionByName(one_of_each(docs, again))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,3 +56,23 @@ def test_registered():
     names = [n for n in __spark_entry__.queries() if n.startswith("op") and n[2].isdigit()]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in __spark_entry__.queries()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "substring_dedup", "decontamination", "best_fit_packing"]
+
+
+def test_near_dedup_leaves_one_row_of_each_group(spark, words, tmp_path):
+    base, other, third = words(120, 901), words(130, 902), words(140, 903)
+    near = lambda w: " ".join([*w[:60], "changed", *w[61:]])
+    join = " ".join
+    rows = [(7, join(base)), (7, join(base)), (7, near(base)), (8, join(base)), (None, join(base)),  # one group
+            (None, join(other)), (None, join(other)), (None, near(other)),  # one without ids
+            (7, join(third)), (9, near(third)),  # another under the same id
+            (3, join(words(80, 904))), (None, join(words(90, 905))), (None, None), (None, None), (4, "")]
+    spark.createDataFrame(rows * 40, "doc_id bigint, text string").repartition(5).write.parquet(f"{tmp_path}/d.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/d.parquet")
+    got = rows_of(corpus_pipeline.near_dedup(spark, docs, str(tmp_path)))
+    groups = [{join(base), near(base)}, {join(other), near(other)}, {join(third), near(third)}, {join(words(80, 904))}, {join(words(90, 905))}]
+    assert [sum(t in g for _, t in got) for g in groups] == [1] * 5
+    assert sorted(d for d, t in got if t and d is not None) == [3, 7, 7]
+    assert [(d, t) for d, t in got if not t].count((None, None)) == 80 and (4, "") in got
+    # A clean document that stands there several times stays in the corpus.
+    left = rows_of(corpus_pipeline.substring_dedup(spark, spark.createDataFrame([r for r in got if r[1]], "doc_id bigint, text string"), str(tmp_path)))
+    assert len(left) == 5

@@ -268,18 +268,31 @@ def exact(docs: DataFrame, classes: DataFrame, clusters: DataFrame) -> DataFrame
     return done.union(components(links.where("open").select("a", "b")))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, row_key, n_shingles, component_id (the least doc_id reachable over links) and kept (it is that document)."""
+def members(docs: DataFrame) -> DataFrame:
+    """Per document: doc_id, row_key, n_shingles, class (null for an empty set) and first (none, id, key): the least doc_id reachable over links, nulls
+    last, and the least row_key under it. Groups have different firsts, even where ids are null or stand for several texts."""
     signed = signatures(docs)
     some = signed.where(F.col("class").isNotNull())
-    classes = settle(some.groupBy("class").agg(F.min("doc_id").alias("least_doc"), F.min("row_key").alias("row_key"), F.first("n_shingles").alias("n_shingles"),
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row_key").alias("key")))
+    classes = settle(some.groupBy("class").agg(first.alias("first"), F.min("row_key").alias("row_key"), F.first("n_shingles").alias("n_shingles"),
                                                F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch")))
     clusters = components(candidates(classes))
     roots = settle(exact(docs, classes.select("class", "row_key", "n_shingles"), clusters))
-    least = classes.select(F.col("class").alias("node"), "least_doc")
-    joined = settle(roots.join(least, "node"))
-    named = joined.join(joined.groupBy("root").agg(F.min("least_doc").alias("component_id")), "root").select(F.col("node").alias("class"), "component_id")
-    final = classes.select("class", "least_doc").join(named, "class", "left").select("class", F.coalesce("component_id", "least_doc").alias("component_id"))
-    out = signed.select("doc_id", "row_key", "n_shingles", "class").join(final, "class", "left")
-    out = out.withColumn("component_id", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))).drop("class")
+    joined = settle(roots.join(classes.select(F.col("class").alias("node"), "first"), "node"))
+    named = joined.join(joined.groupBy("root").agg(F.min("first").alias("over")), "root").select(F.col("node").alias("class"), "over")
+    final = classes.select("class", "first").join(named, "class", "left").select("class", F.coalesce("over", "first").alias("first"))
+    return signed.select("doc_id", "row_key", "n_shingles", "class").join(final, "class", "left")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """Per document: doc_id, row_key, n_shingles, component_id (the least doc_id reachable over links) and kept (it is that document)."""
+    component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("first.id"))
+    out = members(docs).select("doc_id", "row_key", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def surplus(docs: DataFrame) -> DataFrame:
+    """(doc_id, row_key, again) of the rows that are too many for one of each group: all rows of a key, or, with again, all rows but one."""
+    rows = members(docs).where(F.col("class").isNotNull())
+    own = F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("row_key") == F.col("first.key"))
+    return rows.groupBy("doc_id", "row_key", own.alias("again")).count().where("not again or count > 1").select("doc_id", "row_key", "again")
