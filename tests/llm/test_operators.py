@@ -297,3 +297,15 @@ def test_chat(spark):
     assert whole.text.count("<|") == 6 and texts[4, 1].text.startswith("<|assistant|>\na<|end|>")
     none = chat.segments(df.where("false"))
     assert chat.digest(none, chat.examples(none)).count() == 0
+
+
+def test_licenses_in_usual_forms(spark):
+    texts = dict(licenses.known_texts())
+    assert {"MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "MPL-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "Unlicense", "Zlib", "CC0-1.0"} <= set(texts)
+    stock = ["MIT License\n\nCopyright (c) 2020 Someone\n\n" + licenses.TEXTS["MIT"], *texts.values()]
+    lines = {"SPDX-License-Identifier: MIT": "MIT", "# SPDX-License-Identifier: GPL-2.0-only": "GPL-2.0", "Licensed under the MIT License": "MIT",
+             "SPDX-License-Identifier: AGPL-3.0-or-later": "AGPL-3.0", "// Licensed under the BSD 3-Clause License.": "BSD-3-Clause", "Released under the MIT Licenses": ""}
+    df = spark.createDataFrame(list(enumerate([*stock, *lines])), "doc_id bigint, text string")
+    found = {r.doc_id: (r.license, r.notices) for r in licenses.scan(df).collect()}
+    assert [found[k][0] for k in range(len(stock))] == ["MIT", *texts]
+    assert [found[len(stock) + k][1] for k in range(len(lines))] == list(lines.values())

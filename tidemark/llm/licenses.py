@@ -3,7 +3,8 @@
 A text is made canonical: A-Z lower-cased, lines that only state a copyright
 removed, equivalent spellings made one, every run of other characters than letters
 and digits one blank. Its sha256 is then looked up among the digests of known
-licence texts, a fixed table of a few dozen rows that is broadcast. Whole documents
+licence texts, a fixed table that is broadcast: TEXTS and the files of licence_texts,
+each with and without its titles and in its usual forms. Whole documents
 are looked up, and each line of a document, where licence notices stand.
 
 A null or empty text has the digest of an empty text, which no licence has. A known
@@ -13,6 +14,10 @@ give empty results; extra columns are ignored.
 """
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Spellings that licence texts use for the same word, the second made the first.
@@ -52,6 +57,50 @@ TEXTS = {
     "0BSD": f"{_ISC_GRANT}. {_ISC_AS_IS}",
 }
 
+#: Titles that stand above a licence's text, by SPDX name; short and long names as notices give them.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "Expat License"), "MIT-0": ("MIT No Attribution", "MIT No Attribution License", "MIT-0 License"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"), "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "0BSD License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "BSD 2-Clause \"Simplified\" License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "BSD 3-Clause \"New\" or \"Revised\" License", "New BSD License", "Modified BSD License"),
+    "Apache-2.0": ("Apache License 2.0", "Apache License, Version 2.0", "Apache Software License 2.0"), "MPL-1.1": ("Mozilla Public License 1.1",),
+    "MPL-2.0": ("Mozilla Public License 2.0", "Mozilla Public License, v. 2.0", "Mozilla Public License Version 2.0"),
+    "GPL-1.0": ("GNU General Public License v1.0", "GNU GPL v1"), "GPL-2.0": ("GNU General Public License v2.0", "GNU General Public License, version 2", "GNU GPL v2"),
+    "GPL-3.0": ("GNU General Public License v3.0", "GNU General Public License, version 3", "GNU GPL v3"),
+    "LGPL-2.1": ("GNU Lesser General Public License v2.1", "GNU Lesser General Public License, version 2.1", "GNU LGPL v2.1"),
+    "LGPL-3.0": ("GNU Lesser General Public License v3.0", "GNU Lesser General Public License, version 3", "GNU LGPL v3"),
+    "AGPL-3.0": ("GNU Affero General Public License v3.0", "GNU Affero General Public License, version 3", "GNU AGPL v3"),
+    "Unlicense": ("The Unlicense", "Unlicense"), "Zlib": ("zlib License", "The zlib License", "zlib/libpng License"), "Artistic-1.0-Perl": ("The Artistic License",),
+    "CC0-1.0": ("CC0 1.0 Universal", "Creative Commons Zero v1.0 Universal"), "CC-BY-4.0": ("CC BY 4.0", "Creative Commons Attribution 4.0 International License"),
+    "CC-BY-SA-4.0": ("CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"),
+    "CC-BY-NC-4.0": ("CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"),
+}
+#: The sentences that name a licence in source files.
+SENTENCES = ("Licensed under {}", "Licensed under the {}", "Released under {}", "Released under the {}", "Distributed under the {}", "This work is licensed under {}",
+             "This work is licensed under the {}", "This work is licensed under a {}", "This project is licensed under the {}", "This software is licensed under the {}",
+             "This file is licensed under the {}", "This code is licensed under the {}", "License: {}")
+
+
+def forms(name: str, text: str) -> set[str]:
+    """Usual forms of a licence text: without the numbers of a short one's conditions, without the appendix, without and under each title."""
+    made = {text, text.split("END OF TERMS AND CONDITIONS")[0] + "END OF TERMS AND CONDITIONS"} if "END OF TERMS AND CONDITIONS" in text else {text}
+    if name.startswith("BSD"):
+        made |= {re.sub(r"(?m)^\d\. ", "* ", text)}
+    return made | {f"{title}\n\n{one}" for title in TITLES.get(name, ()) for one in made}
+
+
+def known_texts() -> list[tuple[str, str]]:
+    """(name, text) of every known form."""
+    stored = {f.name.removesuffix(".txt"): f.read_text() for f in files(__package__).joinpath("licence_texts").iterdir() if f.name.endswith(".txt")}
+    return [(name, form) for name, text in sorted({**stored, **TEXTS}.items()) for form in sorted(forms(name, text))]
+
+
+def known_notices() -> list[tuple[str, str]]:
+    """(name, line) of every known notice: NOTICES, SENTENCES with each title, and SPDX identifiers."""
+    said = [(name, sentence.format(title)) for name, titles in TITLES.items() for title in dict.fromkeys((*titles, f"{name} License", name)) for sentence in SENTENCES]
+    ids = [(name, f"SPDX-License-Identifier: {name}{end}") for name in TITLES for end in ("", *(("-only", "-or-later", "+") if "GPL" in name else ()))]
+    return [*NOTICES.items(), *said, *ids]
+
 
 def canonical(text: Column, lines: bool = False) -> Column:
     """The canonical form; lines keeps line feeds, so that it can be cut at them."""
@@ -68,26 +117,30 @@ def digest(c: Column) -> Column:
     return F.sha2(c, 256)
 
 
-def known(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
-    """(digest, names) of licence texts by name."""
+def known(spark: SparkSession, texts: Iterable[tuple[str, str]]) -> DataFrame:
+    """(digest, names) of licence texts, as (name, text)."""
+    texts = sorted(texts)
     if not texts:
         return spark.range(0).select(F.lit("").alias("digest"), F.lit("").alias("names"))
-    rows = spark.range(1).select(F.explode(F.create_map(*[F.lit(x) for kv in sorted(texts.items()) for x in kv])).alias("name", "text"))
+    rows = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(k).alias("name"), F.lit(v).alias("text")) for k, v in texts])))
     return rows.groupBy(digest(canonical(F.col("text"))).alias("digest")).agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("names"))
 
 
 def scan(docs: DataFrame, texts: dict[str, str] | None = None, notices: dict[str, str] | None = None) -> DataFrame:
     """Per document: doc_id, text_sha256 (of the canonical text), license (names whose text it is, or null) and notices (names of notices that are
     lines of it, sorted, comma-joined)."""
-    spark, notices = docs.sparkSession, NOTICES if notices is None else notices
-    whole, lines = known(spark, TEXTS if texts is None else texts), known(spark, notices)
-    # The digests of the fixed notices are in the plan as a map of a few dozen entries: a hash look-up for each line, no row for each line.
-    table = {r.digest: r.names for r in lines.collect()}
-    named = F.create_map(*[F.lit(x) for kv in sorted(table.items()) for x in kv]) if table else F.create_map(F.lit(""), F.lit(""))
+    spark, notices = docs.sparkSession, known_notices() if notices is None else list(notices.items())
+    whole, lines = known(spark, known_texts() if texts is None else texts.items()), known(spark, notices)
+    # The digests of the fixed notices are in the plan as 256 small maps, by their first two digits, since Spark reads a map from its start: no row for each line.
+    table: list[dict[str, str]] = [{"": ""} for _ in range(256)]
+    for r in lines.collect():
+        table[int(r.digest[:2] or "0", 16)][r.digest] = r.names
+    named = F.array(*[F.create_map(*[F.lit(x) for kv in sorted(t.items()) for x in kv]) for t in table])
+    place = lambda d: F.conv(F.substring(d, 1, 2), 16, 10).cast("int")
     # A canonical notice is at most twice as long as the notice; longer lines need no digest.
-    longest = 2 * max(map(len, notices.values()), default=0) + 2
+    longest = 2 * max((len(x) for _, x in notices), default=0) + 2
     own = F.filter(F.split(canonical(F.col("text"), lines=True), "\n"), lambda x: F.length(x) <= longest)
-    found = F.array_sort(F.array_distinct(F.filter(F.transform(own, lambda x: named[digest(F.trim(x))]), lambda x: x.isNotNull())))
+    found = F.array_sort(F.array_distinct(F.filter(F.transform(F.transform(own, lambda x: digest(F.trim(x))), lambda d: named[place(d)][d]), lambda x: x.isNotNull())))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), digest(canonical(F.col("text").cast("string"))).alias("text_sha256"),
                        F.array_join(found, ",").alias("notices"))
     return rows.join(F.broadcast(whole), rows.text_sha256 == whole.digest, "left").select("doc_id", "text_sha256", F.col("names").alias("license"), "notices")
