@@ -1,5 +1,7 @@
 """Each operator on odd rows and on no rows, against brute force."""
 import random
+import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -309,3 +311,18 @@ def test_licenses_in_usual_forms(spark):
     found = {r.doc_id: (r.license, r.notices) for r in licenses.scan(df).collect()}
     assert [found[k][0] for k in range(len(stock))] == ["MIT", *texts]
     assert [found[len(stock) + k][1] for k in range(len(lines))] == list(lines.values())
+
+
+@pytest.mark.parametrize("width", [13, 30, 50, 60, 72, 80, 100])
+def test_licenses_wrapped(spark, width):
+    # Statements inside a licence, such as its samples, keep their line.
+    stated = re.compile(r"(?i)copyright\s*(\(c\)|\[|\d)")
+    texts = dict(licenses.known_texts())
+    rows = [(k, line) for k, text in texts.items() for line in ["Copyright 2020 Someone\nCopyright The Foo Authors\n(c) 2021 A\n© B\n" + "\n".join(
+        own if stated.search(own) else textwrap.fill(own, width, break_long_words=False, break_on_hyphens=False)
+        for own in text.splitlines())]]
+    rows += [(k, textwrap.fill(" ".join(licenses.TEXTS[k].split()), n, break_long_words=False)) for k in licenses.TEXTS for n in range(width, width + 12)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {(r.doc_id, r.text) for r in df.join(licenses.known(spark, licenses.known_texts()), licenses.digest(licenses.canonical(df.text)) == F.col("digest"), "left")
+           .where("not array_contains(split(names, ','), doc_id) or names is null").collect()}
+    assert not got

@@ -102,10 +102,15 @@ def known_notices() -> list[tuple[str, str]]:
     return [*NOTICES.items(), *said, *ids]
 
 
+#: Words that licences have after 'copyright' or '(c)' inside sentences, so that a line that begins so states none.
+PROSE = (r"and|are|disclaimers?|doctrines?|holders?|if|interests?|laws?|licen[sc]es?|notices?|of|on|or|owners?|ownership|permissions?|representations|statements?|treat(?:y|ies)|"
+         r"under|you|the\b(?!.*\b(?:authors|contributors|developers|project|foundation|team)\b)")
+
+
 def canonical(text: Column, lines: bool = False) -> Column:
     """The canonical form; lines keeps line feeds, so that it can be cut at them."""
     c = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    c = F.regexp_replace(c, r"(?m)^[^\p{L}\p{N}\n]*(copyright|\(c\)|©)[ \t(].*$", "")
+    c = F.regexp_replace(c, rf"(?m)^[^\p{{L}}\p{{N}}\n]*(copyright|\(c\)|©)(?=[ \t(])(?![^\p{{L}}\p{{N}}\n]*(?:(?:{PROSE})\b|$)).*$", "")
     c = F.regexp_replace(c, r"[^\p{L}\p{N}\n]+" if lines else r"[^\p{L}\p{N}]+", " ")
     for one, other in SPELLINGS:
         if other.replace("/", " ") != one:
