@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, licenses, near, ngrams, packing, quality, substrings, token_counts, token_files
+from . import chat, decontaminate, licenses, merkle, near, ngrams, packing, quality, substrings, token_counts, token_files, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -151,3 +151,61 @@ FROM (SELECT row, doc_id, sha256(trim({_canonical_sql('text')})) AS text_sha256
 LEFT JOIN {_values(licenses.TEXTS)} k ON text_sha256 = digest LEFT JOIN found USING (row)""")
 def op6(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+MANIFEST = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def _leaf_sql(text: str) -> str:
+    parts = [f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in (text if c == "text" else f"CAST({c} AS VARCHAR)" for c in MANIFEST)]
+    return f"sha256({' || '.join(parts)})"
+
+
+def _tree_sql(name: str, first: str, levels: int) -> str:
+    """Runs of eight over (g, i, d, n), level by level: name_r0, name_r1, ... with the digests of each run. 8**levels nodes at most."""
+    out = [f"{name}_n0 AS ({first})"]
+    for k in range(levels):
+        out.append(f"{name}_r{k} AS MATERIALIZED (SELECT g, i // 8 AS q, list(d ORDER BY i) AS ds, any_value(n) AS n FROM {name}_n{k} GROUP BY 1, 2)")
+        out.append(f"{name}_n{k + 1} AS (SELECT g, q AS i, CASE WHEN n > 1 THEN sha256(array_to_string(ds, '')) ELSE ds[1] END AS d, (n + 7) // 8 AS n FROM {name}_r{k})")
+    return ",\n".join(out)
+
+
+def _fold_sql(name: str, tree: str, frm: str, group: str, place: str, levels: int) -> list[str]:
+    """Each level's siblings go to the proof and around the folded digest."""
+    out = []
+    for k in range(levels):
+        before, after = f"array_to_string(r.ds[1:({place} // {8 ** k}) % 8], '')", f"array_to_string(r.ds[({place} // {8 ** k}) % 8 + 2:], '')"
+        out.append(f"{name}_f{k} AS (SELECT p.* EXCLUDE (folded, proof), CASE WHEN r.n > 1 THEN sha256({before} || p.folded || {after}) ELSE p.folded END AS folded,"
+                   f" CASE WHEN r.n > 1 THEN p.proof || {before} || {after} ELSE p.proof END AS proof"
+                   f" FROM {frm} p JOIN {tree}_r{k} r ON r.g IS NOT DISTINCT FROM {group} AND r.q = {place} // {8 ** (k + 1)})")
+        frm = f"{name}_f{k}"
+    return out
+
+
+#: The crc32 of a decimal number, bit by bit: a byte goes in, then eight shifts (-1).
+CRC_SQL = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END), 4294967295)"""
+
+
+@query("op12_merkle_manifest", f"""
+WITH l AS (SELECT doc_id, lang, {_leaf_sql('text')} AS leaf,
+  CASE WHEN {CRC_SQL} % 3 = 0 THEN {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS other FROM documents),
+p AS MATERIALIZED (SELECT doc_id, lang, leaf, coalesce(other, leaf) AS folded, '' AS proof, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM l),
+{_tree_sql("a", "SELECT lang AS g, place AS i, leaf AS d, count(*) OVER (PARTITION BY lang) AS n FROM p", 8)},
+s AS (SELECT g AS lang, d AS subroot, row_number() OVER (ORDER BY encode(g) NULLS FIRST) - 1 AS spot FROM a_n8),
+{_tree_sql("b", "SELECT 0 AS g, spot AS i, subroot AS d, count(*) OVER () AS n FROM s", 4)},
+{", ".join(_fold_sql("x", "a", "p", "p.lang", "p.place", 8))},
+w AS (SELECT x_f7.*, subroot, spot FROM x_f7 JOIN s ON s.lang IS NOT DISTINCT FROM x_f7.lang),
+{", ".join(_fold_sql("y", "b", "w", "0", "p.spot", 4))}
+SELECT doc_id, leaf, subroot, d AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = d AS verified FROM y_f3, b_n4""")
+def op12(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    third = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    other = F.when(third, merkle.leaf({c: lowered if c == "text" else F.col(c) for c in MANIFEST}))
+    return merkle.manifest(docs, MANIFEST, "lang", "doc_id", other)
+
+
+@query("op13_embedding_whitening")
+def op13(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8)
