@@ -56,7 +56,8 @@ def shingles(text):
     return {tuple(w[i:i + 3]) for i in range(len(w) - 2)} if len(w) > 2 else {tuple(w)} if w else set()
 
 
-def near(rows):
+def near_groups(rows):
+    """Each row's set of shingles, and for each the group of rows that it reaches."""
     sets, root = [shingles(t) for _, t in rows], list(range(len(rows)))
 
     def find(x):
@@ -66,13 +67,28 @@ def near(rows):
     for a, b in itertools.combinations(range(len(rows)), 2):
         if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
             root[find(a)] = find(b)
+    return sets, [find(i) for i in range(len(rows))]
+
+
+def one_of_each(rows):
+    """One row of each group, under its least id; rows without words stay. For groups with one text under that id."""
+    sets, group = near_groups(rows)
+    best = {}
+    for s, g, (doc, text) in zip(sets, group, rows):
+        if s:
+            best[g] = min(best.get(g, (doc is None, doc or 0, text)), (doc is None, doc or 0, text))
+    return [r for s, r in zip(sets, rows) if not s] + [(None if none else doc, text) for none, doc, text in best.values()]
+
+
+def near(rows):
+    sets, group = near_groups(rows)
     groups = {}
-    for i, (doc, _) in enumerate(rows):
-        groups.setdefault(find(i), []).append(doc)
+    for g, (doc, _) in zip(group, rows):
+        groups.setdefault(g, []).append(doc)
     least = lambda ids: min((d for d in ids if d is not None), default=None)
     out = []
     for i, (doc, _) in enumerate(rows):
-        c = least(groups[find(i)]) if sets[i] else doc
+        c = least(groups[group[i]]) if sets[i] else doc
         out.append((doc, len(sets[i]), c, doc == c))
     return out
 

@@ -4,12 +4,14 @@ import re
 import textwrap
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, components, decontaminate, licenses, near, ngrams, packing, quality, substrings, token_counts, token_files, units
+from tidemark.llm import chat, components, decontaminate, licenses, near, ngrams, packed, packing, quality, queries, substrings, token_counts, token_files, units
 
 from . import brute
 
@@ -273,7 +275,33 @@ def test_licenses(odd_docs, odd_rows, no_docs, spark):
             (4, mit.replace(" ", "\n  ").replace(",", " ,;")), (5, "Some text.\n// Licensed under the Apache Licence, version 2.0\nmore"), (6, mit[:-9]),
             (7, "Released under the MIT License.\nLicensed under CC BY-NC 4.0."), (8, None)]
     found = {r.doc_id: (r.license, r.notices) for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    assert found == {1: ("MIT", ""), 2: (None, ""), 3: ("MIT", ""), 4: ("MIT", ""), 5: (None, "Apache-2.0"), 6: (None, ""), 7: (None, "CC-BY-NC-4.0,MIT"), 8: (None, "")}
+    assert found == {1: ("MIT", ""), 2: ("MIT", ""), 3: ("MIT", ""), 4: ("MIT", ""), 5: (None, "Apache-2.0"), 6: (None, ""), 7: (None, "CC-BY-NC-4.0,MIT"), 8: (None, "")}
+
+
+def test_license_oracle(spark, tmp_path):
+    """The query's SQL finds what the operator finds, in texts of every known licence and in notices."""
+    texts = [t for _, t in licenses.known_texts()]
+    texts += ["\n".join(textwrap.wrap(t, 60)) for t in texts[::3]] + ["Copyright (c) 2020 A\n(c) the project authors\n© Someone\nCopyright the holders, all\n" + t.upper() for t in texts[::5]]
+    texts += [f"Code.\n# {n}\nmore" for _, n in licenses.known_notices()[::7]] + ["copyright notice\n(c) 2020", "Copyright (c) the authors", "copyright", "©", "", None, "MIT License"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in queries.QUERIES["op6_license_scan"](spark, str(tmp_path)).collect())
+    assert got == sorted(con.execute(queries.ORACLES["op6_license_scan"]).fetchall())
+    assert {n for _, _, names, _ in got if names for n in names.split(",")} == {n for n, _ in licenses.known_texts()}
+
+
+def test_counts_beyond_32_bits():
+    """A token seen more often than 32 bits can count keeps its number."""
+    texts, many = pa.table({"doc_id": [1], "text": ["aa bb aa"], "train": [True]}), 5_000_000_000
+    h, first = ngrams.tokens(texts["text"])
+    rows = []
+    for kind, n in ((1, len(np.unique(h))), (2, len(np.unique(ngrams.pairs(h, first))))):
+        rows.append({"kind": kind, "range": 0, "totals": packed.pack(np.arange(n, dtype=np.uint64) + np.uint64(many)), "distinct": n})
+    out = ngrams._counted((), texts, pa.Table.from_pylist(rows))
+    for c, n in (("word_counts", 3), ("pair_counts", 4)):
+        got = packed.unpack(out.column(c)[0].as_py(), np.uint64)
+        assert len(got) == 4 and sorted(set(got.tolist())) == [many + k for k in range(n)]
 
 
 def test_chat(spark):

@@ -127,8 +127,8 @@ def _counted(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
                                             *[pa.array(x.astype(float)) for x in (n, s2, s1)]], ["level", "pair_bin", "word_bin", "n", "pair_sum", "word_sum"])
     one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
     flat = lambda c: table[c].combine_chunks() if table[c].num_chunks != 1 else table[c].chunk(0)
-    return pa.table([one(flat("doc_id")), one(flat("train")), one(pa.array(np.diff(first))), pa.array([pack(pair.astype(np.uint32))], pa.binary()),
-                     pa.array([pack(word.astype(np.uint32))], pa.binary()), pa.array([starts]),
+    return pa.table([one(flat("doc_id")), one(flat("train")), one(pa.array(np.diff(first))), pa.array([pack(pair.astype(np.uint64))], pa.binary()),
+                     pa.array([pack(word.astype(np.uint64))], pa.binary()), pa.array([starts]),
                      pa.array([sum(r["distinct"] for r in rows if r["kind"] == 1)], pa.int64()), one(histogram)],
                     names=["doc_ids", "train", "n_tokens", "pair_counts", "word_counts", "starts", "distinct", "histogram"])
 
@@ -164,8 +164,8 @@ def _scorer(total: int, vocabulary: int, weights: np.ndarray):
             for r in range(batch.num_rows):
                 sizes = batch.column("n_tokens")[r].values.to_numpy()
                 first = np.concatenate([[0], np.cumsum(sizes)])
-                pair = unpack(batch.column("pair_counts")[r].as_py(), np.uint32).astype(np.int64)
-                word = unpack(batch.column("word_counts")[r].as_py(), np.uint32).astype(np.int64)
+                pair = unpack(batch.column("pair_counts")[r].as_py(), np.uint64).astype(np.int64)
+                word = unpack(batch.column("word_counts")[r].as_py(), np.uint64).astype(np.int64)
                 p = mixture(pair, word, contexts(word, first, batch.column("starts")[r].as_py()), total, vocabulary, weights)
                 base = np.log10((word + 1) / (total + vocabulary + 1))
                 add = lambda x: np.add.reduceat(x, first[:-1])

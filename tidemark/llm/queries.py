@@ -127,28 +127,43 @@ def op1(spark, sf_dir):
     return token_counts.count(table(spark, sf_dir, "documents"), token_counts.vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
 
 
-def _canonical_sql(text: str, keep: str = "") -> str:
-    sql = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    sql = rf"regexp_replace({sql}, '(?m)^[^\p{{L}}\p{{N}}\n]*(copyright|\(c\)|©)[ \t(].*$', '', 'g')"
-    sql = rf"regexp_replace({sql}, '[^\p{{L}}\p{{N}}{keep}]+', ' ', 'g')"
+def _canonical_sql(text: str, lines: bool = False) -> str:
+    """licenses.canonical for an engine without looks ahead: each line by itself is judged a statement of copyright or not."""
+    sign, (words, the) = r"^[^\p{L}\p{N}]*(copyright|\(c\)|©)", licenses.PROSE.split(r"|the\b(?!.*")
+    after = rf"{sign}[^\p{{L}}\p{{N}}]*"
+    stated = (rf"regexp_matches(l, '{sign}[ \t(]') AND NOT regexp_matches(l, '{after}(({words})\b|$)')"
+              rf" AND (NOT regexp_matches(l, '{after}the\b') OR regexp_matches(l, '{after}the\b.*{the[:-1]}'))")
+    sql = f"string_split(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(10))"
+    sql = f"array_to_string(list_transform({sql}, lambda l: CASE WHEN {stated} THEN '' ELSE l END), chr(10))"
+    sql = rf"regexp_replace({sql}, '[^\p{{L}}\p{{N}}{chr(92) + 'n' if lines else ''}]+', ' ', 'g')"
     for one, other in licenses.SPELLINGS:
         if other.replace("/", " ") != one:
             sql = f"replace({sql}, '{other.replace('/', ' ')}', '{one}')"
     return sql
 
 
-def _values(texts: dict[str, str]) -> str:
-    rows = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in texts.items())
-    return f"(SELECT sha256(trim({_canonical_sql('text')})) AS digest, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM (VALUES {rows}) t(name, text) GROUP BY 1)"
+def _rows_sql(rows) -> str:
+    return "(VALUES " + ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in rows) + ")"
+
+
+def _digests_sql(rows: str) -> str:
+    return f"(SELECT sha256(trim({_canonical_sql('text')})) AS digest, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM {rows} GROUP BY 1)"
+
+
+#: Known texts without titles, so that each stands in the SQL once; titles are put above them there.
+BARE = [(name, text) for name, text in licenses.known_texts() if not any(text.startswith(f"{t}\n\n") for t in licenses.TITLES.get(name, ()))]
+TITLED = [(name, title) for name, titles in licenses.TITLES.items() for title in titles]
 
 
 @query("op6_license_scan", f"""
 WITH docs AS (SELECT doc_id, row_number() OVER () AS row, text FROM documents),
-lines AS (SELECT row, unnest(string_split({_canonical_sql('text', chr(92) + 'n')}, chr(10))) AS line FROM docs),
-found AS (SELECT row, string_agg(DISTINCT names, ',' ORDER BY names) AS notices FROM lines JOIN {_values(licenses.NOTICES)} k ON sha256(trim(line)) = digest GROUP BY row)
+bare AS (SELECT * FROM {_rows_sql(BARE)} t(name, text)),
+whole AS (SELECT * FROM bare UNION ALL SELECT name, title || chr(10) || chr(10) || text FROM bare JOIN {_rows_sql(TITLED)} t(name, title) USING (name)),
+lines AS (SELECT row, unnest(string_split({_canonical_sql('text', True)}, chr(10))) AS line FROM docs),
+found AS (SELECT row, string_agg(DISTINCT names, ',' ORDER BY names) AS notices FROM lines JOIN {_digests_sql(_rows_sql(licenses.known_notices()) + " t(name, text)")} k ON sha256(trim(line)) = digest GROUP BY row)
 SELECT doc_id, text_sha256, names AS license, coalesce(notices, '') AS notices
 FROM (SELECT row, doc_id, sha256(trim({_canonical_sql('text')})) AS text_sha256 FROM docs) d
-LEFT JOIN {_values(licenses.TEXTS)} k ON text_sha256 = digest LEFT JOIN found USING (row)""")
+LEFT JOIN {_digests_sql("whole")} k ON text_sha256 = digest LEFT JOIN found USING (row)""")
 def op6(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
 
