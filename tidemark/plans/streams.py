@@ -2,15 +2,16 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.columns import DAY, HOUR
-from ..session import shared_dir
-from ..streaming import flows as T
+from ..session import settle, shared_dir
+from ..streaming import flows as T, keyed as K
 from . import views as V
 from .bars_and_panel import OHLCV
-from .events_and_ledger import SIGN, mark_events
+from .events_and_ledger import EQUITY, SIGN, mark_events
 from .registry import query
 
 
@@ -49,6 +50,16 @@ def carried(s, df, part, step):
     return s.read.parquet(f"{at}/out")
 
 
+def kept(s, df, part, make, at, lateness):
+    """df arriving in PARTS deliveries to make(stream), whose state stays with its keys in Spark's store."""
+    where = work(s)
+    for k in range(PARTS):
+        df.filter(part == k).write.mode("append").parquet(f"{where}/in")
+        stream = make(T.folder(s, f"{where}/in", df.schema).withWatermark(at, lateness))
+        stream.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/log").trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(f"{where}/out")
+
+
 def delivered(s, d):
     """Events with the delivery they come in: a quarter of January each, every 50th event a delivery late."""
     e = V.table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
@@ -101,10 +112,10 @@ def _(s, d):
 SELECT (user_id % 10)::VARCHAR AS stream, count(*) FILTER (event_id <> p + 1) AS gaps, count(*) AS n FROM (
   SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id % 10 ORDER BY event_id) AS p FROM events) GROUP BY 1""")
 def _(s, d):
-    e = V.table(s, d, "events").select((F.col("user_id") % 10).cast("string").alias("stream"), "event_id")
+    e = V.table(s, d, "events").select((F.col("user_id") % 10).cast("string").alias("stream"), "event_id", F.col("ts").cast("timestamp").alias("ts"))
     # Ids come in order, in PARTS ranges.
     top = e.agg(F.max("event_id")).first()[0] + 1
-    out = carried(s, e, F.floor(F.col("event_id") * PARTS / F.lit(top)), T.gap_step(["stream"], ["event_id"], "event_id", 4096))
+    out = kept(s, e, F.floor(F.col("event_id") * PARTS / F.lit(top)), lambda x: K.gaps(x, ["stream"], ["event_id"], "event_id", "ts", 7 * DAY // 1000), "ts", "0 seconds")
     return out.groupBy("stream").agg(F.count_if("gap").alias("gaps"), F.count(F.lit(1)).alias("n"))
 
 
@@ -131,7 +142,7 @@ WITH RECURSIVE e AS (SELECT user_id, ts FROM events), k AS (
 SELECT user_id, ts FROM k""")
 def _(s, d):
     e, due, _ = delivered(s, d)
-    return carried(s, e.select("user_id", "ts"), due, T.thin_step(24 * HOUR, ["user_id"], "ts"))
+    return kept(s, e.select("user_id", "ts"), due, lambda x: K.thinned(x, 24 * HOUR, ["user_id"], "ts"), "ts", "0 seconds")
 
 
 @query("t7_running_positions", "account instrument seq position~4 cash~3", """
@@ -140,9 +151,24 @@ SELECT account, instrument, seq, sum(q) OVER w AS position, sum(-(q * price + fe
 WINDOW w AS (PARTITION BY account, instrument ORDER BY t, seq ROWS UNBOUNDED PRECEDING)""")
 def _(s, d):
     o = V.table(s, d, "orders")
-    f = o.select(F.col("o_orderpriority").alias("account"), F.col("o_orderstatus").alias("instrument"), F.col("o_orderdate").cast("date").alias("t"), F.col("o_orderkey").alias("seq"),
+    f = o.select(F.col("o_orderpriority").alias("account"), F.col("o_orderstatus").alias("instrument"), F.col("o_orderdate").cast("timestamp").alias("t"), F.col("o_orderkey").alias("seq"),
                  F.when(F.col("o_orderkey") % 2 == 0, "buy").otherwise("sell").alias("side"), F.lit(1.0).alias("qty"), (F.col("o_totalprice") / 1000).alias("price"), F.lit(0.1).alias("fee"))
-    return carried(s, f, F.least(F.greatest(F.year("t") - 1995, F.lit(0)), F.lit(PARTS - 1)), T.position_step())
+    return kept(s, f, by_year(F.col("t")), K.positions, "t", "0 seconds").drop("t")
+
+
+def by_year(t):
+    return F.least(F.greatest(F.year(t) - 1995, F.lit(0)), F.lit(PARTS - 1))
+
+
+@query("t7_stream_equity", "account t cash~2 value~2 equity~2", """
+SELECT account, t, cash, value, cash + value AS equity FROM eq JOIN (SELECT DISTINCT account, t FROM fills UNION SELECT account, t FROM st WHERE pos <> 0) USING (account, t)
+WHERE t <= (SELECT max(t) FROM (SELECT t FROM fills UNION ALL SELECT t FROM marks UNION ALL SELECT t FROM nfunding)) - 40""", ctes=EQUITY)
+def _(s, d):
+    # Half of the marks of a year's last weeks come with the next year's events.
+    events = reduce(DataFrame.unionByName, K.book_events(V.fills(s, d), V.marks(s, d), V.nation_funding(s, d)))
+    late = (F.col("kind") == "mark") & (F.dayofyear("t") > 340) & (F.crc32("instrument") % 2 == 0)
+    events = settle(events.withColumn("part", F.least(by_year(F.col("t")) + late.cast("int"), F.lit(PARTS - 1))))
+    return kept(s, events, F.col("part"), lambda x: K.equity(x.drop("part")), "t", "40 days").withColumn("t", F.col("t").cast("date"))
 
 
 @query("t8_kind_filter", "event_id kind", "SELECT event_id, event_type AS kind FROM events WHERE event_type IN ('click', 'purchase')")
