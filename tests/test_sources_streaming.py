@@ -83,7 +83,7 @@ def test_ingest_writes_the_lake_and_quarantines_rejects(spark, tmp_path):
     assert back.count() == 1 and spark.read.parquet(str(tmp_path / "bad")).count() == 1
     # Both lines are of one symbol and day, which a later write of either replaces.
     A.ingest(raw(spark, [KLINE]), A.read_klines, str(tmp_path / "lake"), str(tmp_path / "bad"), "klines_1h")
-    assert spark.read.parquet(str(tmp_path / "lake")).count() == 1
+    assert lake.read(spark, str(tmp_path / "lake")).count() == 1
 
 
 def test_the_lake_keeps_other_symbols_and_days(spark, tmp_path):
@@ -95,7 +95,7 @@ def test_the_lake_keeps_other_symbols_and_days(spark, tmp_path):
     put(row("BTC", 2, 9.0), row(None, 2, 4.0))
     put(row("BTC", 3, 5.0))
     put(row(None, 2, 6.0))
-    got = {(r.symbol, r.t.day): r.close for r in spark.read.parquet(path).collect()}
+    got = {(r.symbol, r.t.day): r.close for r in lake.read(spark, path).collect()}
     assert got == {("BTC", 1): 1.0, ("BTC", 2): 9.0, ("ETH", 2): 3.0, ("BTC", 3): 5.0, (None, 2): 6.0}
 
 

@@ -246,7 +246,7 @@ def _(s, d):
 
 @query("s15_lake_partitions", "year month rows", "SELECT year(at) AS year, month(at) AS month, count(*) AS rows FROM bd GROUP BY 1, 2")
 def _(s, d):
-    return s.read.parquet(lake_copy(s, d)).groupBy("year", "month").agg(F.count(F.lit(1)).alias("rows"))
+    return K.read(s, lake_copy(s, d)).groupBy("year", "month").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query("s15_lake_appends", "symbol at close~6", "SELECT symbol, at, CASE WHEN day(at) = 9 THEN 2 * close ELSE close END AS close FROM bd")
@@ -260,6 +260,26 @@ def _(s, d):
     return K.klines(s, path, "1990-01-01", "2010-01-01").select("symbol", F.to_date("open_time").alias("at"), "close")
 
 
+@query("s15_compacted_lake", "symbol at close~6 months", """
+SELECT symbol, at, CASE WHEN day(at) = 9 THEN 2 * close ELSE close END AS close, (SELECT count(DISTINCT date_trunc('month', at)) FROM bd) AS months FROM bd""")
+def _(s, d):
+    # Three commits hold every month; compaction makes one of it, and vacuum deletes what that replaced.
+    path = f"{shared_dir(s)}/tidemark/lake-{uuid.uuid4().hex}"
+    b = V.stored_bars(s, d).select("symbol", "close", F.col("at").cast("timestamp").alias("open_time"), F.lit("klines_1d").alias("dataset"))
+    ninth = F.dayofmonth("open_time") == 9
+    for part in (b, b.filter(ninth).withColumn("close", F.col("close") * 3), b.filter(ninth).withColumn("close", F.col("close") * 2)):
+        K.write(part, path, at="open_time")
+    months = K.compact(s, path, least=1)
+    K.vacuum(s, path)
+    return K.klines(s, path, "1990-01-01", "2010-01-01").select("symbol", F.to_date("open_time").alias("at"), "close", F.lit(months).cast("bigint").alias("months"))
+
+
+@query("q11_lake_holdings", "symbol days rows", "SELECT symbol, count(DISTINCT at) AS days, count(*) AS rows FROM bd GROUP BY 1")
+def _(s, d):
+    held = K.holdings(s, lake_copy(s, d))
+    return held.groupBy("symbol").agg(F.count(F.lit(1)).alias("days"), F.sum("rows").alias("rows"))
+
+
 @query("s16_daily_bars", "symbol at high~6 low~6 close~6 volume~4", "SELECT symbol, at, high, low, close, volume FROM bd")
 def _(s, d):
     return K.daily_bars(K.klines(s, lake_copy(s, d), "1990-01-01", "2010-01-01"))
