@@ -12,8 +12,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import DAY, clip, micros
+from ..session import settle
 from .asof import asof_join
 from .ordered import last_seen, previous, running, scan
+from .spans import during, until_next
 
 SLOT = ["account", "instrument"]
 # Kinds that set the position mark, in the order they count; only mark bars set the funding mark.
@@ -58,25 +60,29 @@ def current_marks(events: DataFrame, block: int = DAY) -> DataFrame:
                      {"mark": mark, "funding_mark": fmark}).drop("__bar")
 
 
-def _states(fills: DataFrame, marks: DataFrame, funding: DataFrame | None, block: int) -> DataFrame:
-    """(account, instrument, t, dc, rate, position, mark, was_position, was_mark) at every stamp a held instrument has anything.
-
-    Fills, marks and funding prints of one stamp meet in one row, so what settles
-    at a stamp sees the stamp's own fills and mark. Position and mark, before and
-    after, come out of one pass.
-    """
+def _flows(fills: DataFrame) -> DataFrame:
+    """(account, instrument, t, dq, dc): what a slot's fills of one stamp do to its position and its account's cash."""
     fee = F.col("fee") if "fee" in fills.columns else F.lit(0.0)
-    flows = fills.groupBy(*SLOT, "t").agg(F.sum(signed()).alias("dq"), F.sum(-(signed() * F.col("price") + fee)).alias("dc"))
-    news = marks.filter(F.col("kind") == "mark_kline").select("instrument", "t", F.col("price").alias("m"))
-    if funding is not None:
-        news = news.unionByName(funding.select("instrument", "t", "rate"), allowMissingColumns=True)
+    return fills.groupBy(*SLOT, "t").agg(F.sum(signed()).alias("dq"), F.sum(-(signed() * F.col("price") + fee)).alias("dc"))
+
+
+def holdings(flows: DataFrame, block: int = 32 * DAY) -> DataFrame:
+    """(account, instrument, since, until, position) while a slot is not flat, from _flows: fills of since included, until the next ones."""
+    held = running(flows, SLOT, ["t"], _block(flows, "t", block), sums={"position": F.col("dq")})
+    held = until_next(held, SLOT, "t", block)
+    return held.filter(F.col("position") != 0).select(*SLOT, F.col("t").alias("since"), "until", "position")
+
+
+def _news(marks: DataFrame, funding: DataFrame | None, block: int) -> DataFrame:
+    """(instrument, t, price, rate, was), settled: each mark bar with the one before it, and each funding print with the bar before it."""
+    bars = marks.filter(F.col("kind") == "mark_kline").groupBy("instrument", "t").agg(F.max("price").alias("price"), F.lit(None).cast("double").alias("rate"))
+    if funding is None:
+        rows = bars
     else:
-        news = news.withColumn("rate", F.lit(None).cast("double"))
-    rows = flows.unionByName(news.join(fills.select(*SLOT).distinct(), "instrument"), allowMissingColumns=True)
-    rows = rows.groupBy(*SLOT, "t").agg(F.coalesce(F.sum("dq"), F.lit(0.0)).alias("dq"), F.coalesce(F.sum("dc"), F.lit(0.0)).alias("dc"),
-                                        F.max("m").alias("m"), F.sum("rate").alias("rate"))
-    return scan(rows, SLOT, ["t"], _block(rows, "t", block), sums={"position": F.col("dq")}, lasts={"mark": F.col("m")},
-                before={"was_position": "position", "was_mark": "mark"})
+        rows = bars.unionByName(funding.groupBy("instrument", "t").agg(F.sum("rate").alias("rate")), allowMissingColumns=True)
+    # At one stamp prints come before bars.
+    order = ["t", F.col("price").isNotNull()]
+    return settle(scan(settle(rows), ["instrument"], order, _block(rows, "t", block), lasts={"upto": F.col("price")}, before={"was": "upto"}).drop("upto"))
 
 
 def funding_flows(fills: DataFrame, marks: DataFrame, funding: DataFrame, block: int = 32 * DAY) -> DataFrame:
@@ -84,31 +90,34 @@ def funding_flows(fills: DataFrame, marks: DataFrame, funding: DataFrame, block:
 
     A print settles on the position, fills of its own stamp included, at the
     mark bar before it: at one stamp bars come last. No mark yet means no flow.
-    Prints before the holder's first fill are left out.
+    Slots that are flat at a print have no row.
     """
-    first = fills.groupBy(*SLOT).agg(F.min("t").alias("__first"))
-    due = (_states(fills, marks, funding, block).filter(F.col("rate").isNotNull())
-           .join(first, SLOT).filter(F.col("t") >= F.col("__first")))
-    flow = F.coalesce(F.col("position") * F.col("was_mark") * F.col("rate"), F.lit(0.0))
-    return (due.select(*SLOT, "t", "rate", "position", F.col("was_mark").alias("mark"), flow.alias("flow"))
+    prints = _news(marks, funding, block).filter(F.col("rate").isNotNull())
+    due = during(holdings(settle(_flows(fills)), block), prints, ["instrument"], "t", width=block)
+    due = due.withColumn("flow", F.coalesce(F.col("position") * F.col("was") * F.col("rate"), F.lit(0.0)))
+    return (due.select(*SLOT, "t", "rate", "position", F.col("was").alias("mark"), "flow")
             .withColumn("paid", F.greatest("flow", F.lit(0.0))).withColumn("received", F.greatest(-F.col("flow"), F.lit(0.0))))
 
 
 def equity(fills: DataFrame, marks: DataFrame, funding: DataFrame | None = None, block: int = 32 * DAY) -> DataFrame:
-    """(account, t, cash, value, equity) at every stamp, from its first fill on, an account trades or an instrument it holds moves.
+    """(account, t, cash, value, equity) at every stamp an account trades or an instrument it holds then is marked or settles.
 
-    Each (account, instrument) yields the change of its marked value, and one
-    running sum per account adds them up, so there is no account by
-    instrument by time product beyond the marks of held instruments.
+    A stamp changes an account's value by what its fills bring at the mark of the stamp, and by what
+    the stamp's mark bar does to the position before it. Marks and prints meet the spans in which a
+    slot is held, add up by account and stamp where they meet, and one running sum
+    per account does the rest.
     """
-    z = lambda q, m: F.coalesce(F.col(q) * F.col(m), F.lit(0.0))
-    st = _states(fills, marks, funding, block)
-    paid = F.coalesce(z("position", "was_mark") * F.col("rate"), F.lit(0.0))
-    change = st.groupBy("account", "t").agg(F.sum(z("position", "mark") - z("was_position", "was_mark")).alias("dv"),
-                                            F.sum(F.col("dc") - paid).alias("dc"))
+    none = F.lit(0.0)
+    flows, news = settle(_flows(fills)), _news(marks, funding, block)
+    traded = asof_join(flows, news.filter(F.col("price").isNotNull()), ["instrument"], "t", "t", {"mark": "price"}, block=block)
+    moves = traded.select("account", "t", (F.col("dq") * F.coalesce("mark", none)).alias("dv"), "dc")
+    # A print sees the fills of its own stamp, a bar moves what was held before.
+    held = during(holdings(flows, block), news, ["instrument"], "t", opening=F.col("rate").isNotNull(), width=block)
+    paid = F.coalesce(F.col("position") * F.col("was") * F.col("rate"), none)
+    moved = F.coalesce(F.col("position") * (F.col("price") - F.coalesce("was", none)), none)
+    moves = moves.unionByName(held.select("account", "t", moved.alias("dv"), (-paid).alias("dc")))
+    change = settle(moves.groupBy("account", "t").agg(F.sum("dv").alias("dv"), F.sum("dc").alias("dc")))
     out = running(change, ["account"], ["t"], _block(change, "t", block), sums={"cash": F.col("dc"), "value": F.col("dv")})
-    first = fills.groupBy("account").agg(F.min("t").alias("__first"))
-    out = out.join(first, "account").filter(F.col("t") >= F.col("__first"))
     return out.select("account", "t", "cash", "value", (F.col("cash") + F.col("value")).alias("equity"))
 
 

@@ -177,7 +177,7 @@ LEDGER = {
     "flows": """SELECT f.account, n.instrument, n.t, n.rate, p.position, n.mark, coalesce(p.position * n.mark * n.rate, 0) AS flow
 FROM (SELECT n.*, m.price AS mark FROM nfunding n ASOF LEFT JOIN marks m ON m.instrument = n.instrument AND m.t < n.t) n
 JOIN (SELECT account, instrument, min(t) AS first FROM fills GROUP BY 1, 2) f ON f.instrument = n.instrument AND n.t >= f.first
-ASOF LEFT JOIN posd p ON p.account = f.account AND p.instrument = n.instrument AND p.t <= n.t""",
+ASOF LEFT JOIN posd p ON p.account = f.account AND p.instrument = n.instrument AND p.t <= n.t WHERE p.position <> 0""",
 }
 
 
@@ -215,9 +215,9 @@ UNION ALL SELECT f.account, n.instrument, n.t, 0, 0, NULL FROM nfunding n JOIN (
 UNION ALL SELECT account, instrument, t, 0, -flow, NULL FROM flows""",
           "st": """SELECT *, coalesce(pos * mk, 0) AS value FROM (SELECT account, instrument, t, dc, sum(dq) OVER w AS pos, last_value(mark IGNORE NULLS) OVER w AS mk FROM (
   SELECT account, instrument, t, sum(dq) AS dq, sum(dc) AS dc, max(mark) AS mark FROM ev GROUP BY 1, 2, 3) WINDOW w AS (PARTITION BY account, instrument ORDER BY t ROWS UNBOUNDED PRECEDING))""",
-          "eq": """SELECT * FROM (SELECT account, t, sum(c) OVER (PARTITION BY account ORDER BY t) AS cash, sum(v) OVER (PARTITION BY account ORDER BY t) AS value FROM (
-  SELECT account, t, sum(dc) AS c, sum(dv) AS v FROM (SELECT account, t, dc, value - coalesce(lag(value) OVER (PARTITION BY account, instrument ORDER BY t), 0) AS dv FROM st) GROUP BY 1, 2)) e
-WHERE t >= (SELECT min(t) FROM fills WHERE fills.account = e.account)"""}
+          "eq": """SELECT account, t, cash, value FROM (SELECT account, t, sum(c) OVER (PARTITION BY account ORDER BY t) AS cash, sum(v) OVER (PARTITION BY account ORDER BY t) AS value FROM (
+  SELECT account, t, sum(dc) AS c, sum(dv) AS v FROM (SELECT account, t, dc, value - coalesce(lag(value) OVER (PARTITION BY account, instrument ORDER BY t), 0) AS dv FROM st) GROUP BY 1, 2))
+JOIN (SELECT DISTINCT account, t FROM fills UNION SELECT account, t FROM st WHERE pos <> 0) USING (account, t)"""}
 
 
 def equity(s, d):

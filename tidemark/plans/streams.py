@@ -161,7 +161,7 @@ def by_year(t):
 
 
 @query("t7_stream_equity", "account t cash~2 value~2 equity~2", """
-SELECT account, t, cash, value, cash + value AS equity FROM eq JOIN (SELECT DISTINCT account, t FROM fills UNION SELECT account, t FROM st WHERE pos <> 0) USING (account, t)
+SELECT account, t, cash, value, cash + value AS equity FROM eq
 WHERE t <= (SELECT max(t) FROM (SELECT t FROM fills UNION ALL SELECT t FROM marks UNION ALL SELECT t FROM nfunding)) - 40""", ctes=EQUITY)
 def _(s, d):
     # Half of the marks of a year's last weeks come with the next year's events.
