@@ -281,11 +281,11 @@ def _(s, d):
 
 
 @query("l10_carry_targets", "symbol t rate~10 market target~2", """
-WITH h AS (SELECT symbol, t, funding_rate AS rate, coalesce(last_value(CASE WHEN funding_rate >= 0.00005 THEN 2.0 WHEN funding_rate <= -0.00005 THEN 0.0 END IGNORE NULLS)
+WITH h AS (SELECT symbol, t, funding_rate AS rate, coalesce(last_value(CASE WHEN funding_rate >= 0.0000503 THEN 2.0 WHEN funding_rate <= -0.0000503 THEN 0.0 END IGNORE NULLS)
   OVER (PARTITION BY symbol ORDER BY t ROWS UNBOUNDED PRECEDING), 0) AS q FROM prints)
 SELECT symbol, t, rate, 'spot' AS market, q AS target FROM h UNION ALL SELECT symbol, t, rate, 'futures', -q FROM h""")
 def _(s, d):
-    return L.carry_targets(V.prints(s, d), 0.00005, -0.00005, 2.0)
+    return L.carry_targets(V.prints(s, d), 0.0000503, -0.0000503, 2.0)
 
 
 @query("l11_drawdown_breach", "account breach_t breach_fall~2", """

@@ -13,7 +13,7 @@ SELECT p_brand AS symbol, CAST(l_shipdate AS DATE) AS at, MAX(l_extendedprice /
 FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2""",
     "prints": """
 SELECT p_brand AS symbol, CAST(l_shipdate AS DATE) + 2 AS t, AVG(l_discount - 0.05) / 100 AS funding_rate
-FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1 GROUP BY 1, 2""",
+FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2""",
     "trades": """
 SELECT event_id AS id, CAST(user_id AS VARCHAR) AS symbol, ts, value AS price, CAST(1 AS DOUBLE) AS qty,
        CASE WHEN event_type IN ('click', 'purchase') THEN 'buy' ELSE 'sell' END AS side
@@ -33,9 +33,9 @@ SELECT instrument, t + (7 - isodow(t))::INTEGER AS t, AVG(price) AS price FROM f
     "nfunding": """
 SELECT instrument, last_day(t) + 1 AS t, (AVG(qty) - 3) / 1000 AS rate FROM fills GROUP BY 1, 2""",
     "cost_rows": """
-SELECT p_brand AS symbol, CAST(date_trunc('month', l_shipdate) AS DATE) AS week_start, AVG(l_tax) * 100 AS half_spread_bps,
+SELECT p_brand AS symbol, CAST(date_trunc('month', l_shipdate) + INTERVAL 12 MONTH AS DATE) AS week_start, AVG(l_tax) * 100 AS half_spread_bps,
        AVG(l_discount) AS impact_bps_per_unit, 5.0::DOUBLE AS taker_fee_bps
-FROM lineitem JOIN part ON l_partkey = p_partkey WHERE year(l_shipdate) >= 1996 GROUP BY 1, 2""",
+FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2""",
     # Long bars.
     "cal": "SELECT at, row_number() OVER (ORDER BY at) AS bar FROM (SELECT DISTINCT at FROM bd)",
     "lb0": """

@@ -150,11 +150,11 @@ def _(s, d):
     return R.histogram(b, "x", -2.0, 2.0, 80)
 
 
-@query("a10_pivot_unpivot", "at symbol close~6", "SELECT at, symbol, close FROM bd WHERE symbol IN ('Brand#11', 'Brand#12', 'Brand#13')")
+@query("a10_pivot_unpivot", "at symbol close~6", "SELECT at, symbol, close FROM bd")
 def _(s, d):
-    names = ["Brand#11", "Brand#12", "Brand#13"]
-    wide = V.bars(s, d).filter(F.col("symbol").isin(*names)).groupBy("at").pivot("symbol", names).agg(F.first("close"))
-    return wide.unpivot(["at"], names, "symbol", "close").filter(F.col("close").isNotNull())
+    names = [r[0] for r in V.table(s, d, "part").select("p_brand").distinct().orderBy("p_brand").collect()]
+    wide = V.bars(s, d).groupBy("at").pivot("symbol", names).agg(F.first("close"))
+    return wide.unpivot(["at"], [f"`{n}`" for n in names], "symbol", "close").filter(F.col("close").isNotNull())
 
 
 @query("a11_by_year", "symbol year n mean~6", "SELECT symbol, year(at) AS year, count(*) AS n, avg(close) AS mean FROM bd GROUP BY 1, 2")

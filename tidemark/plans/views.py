@@ -30,7 +30,7 @@ def stored_bars(spark, sf_dir) -> DataFrame:
 
 def prints(spark, sf_dir) -> DataFrame:
     """(symbol, t, funding_rate): funding prints, two days after shipping, so some fall where no bar is."""
-    l = table(spark, sf_dir, "lineitem").filter(F.col("l_linenumber") == 1).select("l_partkey", "l_shipdate", "l_discount")
+    l = table(spark, sf_dir, "lineitem").select("l_partkey", "l_shipdate", "l_discount")
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("symbol"))
     return (l.join(p, "l_partkey").groupBy("symbol", F.date_add(F.col("l_shipdate").cast("date"), 2).alias("t"))
             .agg((F.avg(F.col("l_discount") - 0.05) / 100).alias("funding_rate")))
@@ -87,10 +87,10 @@ def nation_funding(spark, sf_dir) -> DataFrame:
 
 
 def cost_rows(spark, sf_dir) -> DataFrame:
-    """(symbol, week_start, half_spread_bps, impact_bps_per_unit, taker_fee_bps): monthly cost rows per brand, from 1996 on."""
+    """(symbol, week_start, half_spread_bps, impact_bps_per_unit, taker_fee_bps): monthly cost rows per brand, in force a year later, so the first orders have none."""
     l = table(spark, sf_dir, "lineitem").select("l_partkey", "l_shipdate", "l_tax", "l_discount")
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("symbol"))
     day = F.col("l_shipdate").cast("date")
-    return (l.filter(F.year("l_shipdate") >= 1996).join(p, "l_partkey").groupBy("symbol", F.trunc(day, "month").alias("week_start"))
+    return (l.join(p, "l_partkey").groupBy("symbol", F.add_months(F.trunc(day, "month"), 12).alias("week_start"))
             .agg((F.avg("l_tax") * 100).alias("half_spread_bps"), F.avg("l_discount").alias("impact_bps_per_unit"),
                  F.lit(5.0).alias("taker_fee_bps")))
