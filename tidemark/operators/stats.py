@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import moments as M
 from ..functions.columns import corr, DAY, HOUR, div, micros, rolling
+from ..session import settle
 from .book import _per
 
 # Periods a year by median spacing.
@@ -162,40 +163,107 @@ def tails(rows: DataFrame, x: str, by: Sequence[str] = ()) -> DataFrame:
     return wide.select(*by, F.explode(pack).alias("__r")).select(*by, "__r.*")
 
 
-def correlation_structure(rows: DataFrame, share: float = 0.8) -> DataFrame:
-    """(year, names, avg_corr, independent_bets) of period returns, without forming pairs of names.
-
-    Names with at least share of the year's periods count. With z a name's
-    standardised returns, zero where missing, the sum of all correlations is the
-    sum over periods of (sum over names of z) squared, and the sum of their
-    squares is that of the period-by-period cross products. Work is names times
-    the square of a year's periods. Exact where no values are missing; a
-    missing one counts as the name's mean.
+def masked_correlations(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Correlations of each row of a with each of b over the columns both have; NaN is missing. Zero without two of them or without spread."""
+    pa, pb = ~np.isnan(a), ~np.isnan(b)
+    # Differences from a row's own mean, so that little cancels below.
+    a = np.where(pa, a - np.where(pa.any(1), np.nansum(a, 1) / np.maximum(pa.sum(1), 1), 0)[:, None], 0.0)
+    b = np.where(pb, b - np.where(pb.any(1), np.nansum(b, 1) / np.maximum(pb.sum(1), 1), 0)[:, None], 0.0)
+    pa, pb = pa.astype(float), pb.astype(float)
+    n, sa, sb, cross = pa @ pb.T, a @ pb.T, pa @ b.T, a @ b.T
+    qa, qb = (a * a) @ pb.T, pa @ (b * b).T
+    va, vb = n * qa - sa * sa, n * qb - sb * sb
+    # What rounding leaves of no spread is none.
+    some = (va > 1e-12 * n * qa) & (vb > 1e-12 * n * qb)
+    return np.where(some, (n * cross - sa * sb) / np.sqrt(np.where(some, va * vb, 1.0)), 0.0)
+
+
+def correlation_structure(rows: DataFrame, share: float = 0.8, block: int = 256) -> DataFrame:
+    """(year, names, avg_corr, independent_bets, top_share) of period returns, each pair over the periods both have.
+
+    Names with at least share of the year's periods and with spread count; a pair without
+    two shared periods is uncorrelated. Names are dealt into blocks, and blocks meet in pairs: products of
+    values and of presence masks give a block of correlations, of which sums go on.
+    top_share, the largest eigenvalue's share, comes from Lanczos steps over the stored blocks,
+    a job each for all years together; a vector of one number a name is all the driver holds.
     """
-    r = rows.select("symbol", "period", "returns").withColumn("year", F.year("period").cast("bigint"))
-    span = r.groupBy("year").agg(F.count_distinct("period").alias("__t"))
-    live = r.filter(F.col("returns").isNotNull())
-    m = (live.groupBy("year", "symbol").agg(F.avg("returns").alias("__m"), F.sum((F.col("returns"))).alias("__x"),
-                                            F.stddev_pop("returns").alias("__s"), F.count("returns").alias("__n"))
-         .join(span, "year")
-         .filter((F.col("__n") >= F.floor(F.lit(share) * F.col("__t"))) & (F.col("__s") > 0)))
-    z = (live.join(m.select("year", "symbol", "__m", "__s", "__n"), ["year", "symbol"])
-         .withColumn("z", (F.col("returns") - F.col("__m")) / F.col("__s") / F.sqrt("__n")))
-    names = m.groupBy("year").agg(F.count(F.lit(1)).alias("names"))
-    first = (z.groupBy("year", "period").agg(F.sum("z").alias("__z")).groupBy("year")
-             .agg(F.sum(F.col("__z") ** 2).alias("__c")))
-    # A name's year is at most 53 periods, so its vector and their products are bounded.
-    vec = z.groupBy("year", "symbol").agg(F.collect_list(F.struct("period", "z")).alias("__v"))
-    cross = (vec.select("year", F.explode("__v").alias("a"), "__v").select("year", "a", F.explode("__v").alias("b"))
-             .filter(F.col("a.period") <= F.col("b.period"))
-             .groupBy("year", F.col("a.period").alias("p"), F.col("b.period").alias("q"))
-             .agg(F.sum(F.col("a.z") * F.col("b.z")).alias("__g")))
-    second = cross.groupBy("year").agg(
-        F.sum(F.when(F.col("p") == F.col("q"), 1).otherwise(2) * F.col("__g") ** 2).alias("__cc"))
+    spark = rows.sparkSession
+    r = rows.select("symbol", "period", F.col("returns").cast("double").alias("returns")).withColumn("year", F.year("period").cast("bigint"))
+    at = r.select("year", "period").distinct().withColumn("__at", F.row_number().over(Window.partitionBy("year").orderBy("period")) - 1)
+    at = at.withColumn("__t", F.count(F.lit(1)).over(Window.partitionBy("year")))
+    live = r.filter(F.col("returns").isNotNull()).join(at, ["year", "period"])
+    # A name's year is at most its periods, so its vector is bounded.
+    vec = live.groupBy("year", "symbol").agg(F.max("__t").alias("__t"), F.collect_list(F.struct("__at", "returns")).alias("__v"), F.stddev_pop("returns").alias("__s"))
+    vec = settle(vec.filter((F.size("__v") >= F.floor(F.lit(share) * F.col("__t"))) & (F.col("__s") > 0)).drop("__s"))
+    names = vec.groupBy("year").agg(F.count(F.lit(1)).alias("names"))
+    dealt = vec.join(names, "year").withColumn("__b", F.pmod(F.xxhash64("symbol"), F.ceil(F.col("names") / F.lit(block))).cast("int"))
+    blocks = settle(dealt.groupBy("year", "__b").agg(F.max("__t").alias("__t"), F.array_sort(F.collect_list(F.struct("symbol", "__v"))).alias("__x")))
+    pairs = blocks.join(blocks.select("year", F.col("__b").alias("__c"), F.col("__x").alias("__y")), "year").filter(F.col("__b") <= F.col("__c"))
+
+    def matrix(names_, periods):
+        out = np.full((len(names_), periods), np.nan)
+        for k, name in enumerate(names_):
+            for cell in name["__v"]:
+                out[k, cell["__at"]] = cell["returns"]
+        return out
+
+    def correlate(batches):
+        for f in batches:
+            for x in f.itertuples(index=False, name=None):
+                year, b, t, left, c, right = x
+                m = masked_correlations(matrix(left, t), matrix(right, t))
+                if b == c:
+                    np.fill_diagonal(m, 1.0)
+                twice = 1.0 if b == c else 2.0
+                yield pd.DataFrame({"year": [year], "b": [b], "c": [c], "total": [twice * m.sum()], "squares": [twice * (m * m).sum()], "wide": [m.shape[1]], "m": [m.tobytes()]})
+
+    made = settle(pairs.select("year", "__b", "__t", "__x", "__c", "__y").mapInPandas(correlate, "year bigint, b int, c int, total double, squares double, wide int, m binary"))
+    sums = made.groupBy("year").agg(F.sum("total").alias("total"), F.sum("squares").alias("squares")).join(names, "year")
+    top = spark.createDataFrame(list(_largest(made).items()), "year bigint, top double")
     n = F.col("names")
-    return (names.join(first, "year").join(second, "year")
-            .select("year", n, div(F.col("__c") - n, (n * (n - 1)).cast("double")).alias("avg_corr"),
-                    (n * n / F.col("__cc")).alias("independent_bets")))
+    return sums.join(top, "year").select("year", n, div(F.col("total") - n, (n * (n - 1)).cast("double")).alias("avg_corr"), (n * n / F.col("squares")).alias("independent_bets"), (F.col("top") / n).alias("top_share"))
+
+
+def _largest(made: DataFrame, steps: int = 100) -> dict[int, float]:
+    """The largest eigenvalue of each year's matrix, stored as blocks of its upper half."""
+    sizes = {(r.year, r.b): r.wide for r in made.filter("b = c").select("year", "b", "wide").collect()}
+    if not sizes:
+        return {}
+    place, length = {}, {}
+    for key in sorted(sizes):
+        place[key] = length.get(key[0], 0)
+        length[key[0]] = place[key] + sizes[key]
+
+    def times(v: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+        def run(batches):
+            for f in batches:
+                for x in f.itertuples(index=False):
+                    m = np.frombuffer(x.m).reshape(-1, x.wide)
+                    part = lambda b: v[x.year][place[x.year, b]:place[x.year, b] + sizes[x.year, b]]
+                    out = [(x.year, x.b, (m @ part(x.c)).tolist())] + ([(x.year, x.c, (m.T @ part(x.b)).tolist())] if x.b != x.c else [])
+                    yield pd.DataFrame(out, columns=["year", "b", "y"])
+        out = {y: np.zeros(n) for y, n in length.items()}
+        for r in made.filter(F.col("year").isin(list(v))).mapInPandas(run, "year bigint, b int, y array<double>").collect():
+            out[r.year][place[r.year, r.b]:place[r.year, r.b] + sizes[r.year, r.b]] += r.y
+        return out
+
+    basis = {y: [(lambda x: x / np.linalg.norm(x))(1 + np.sin(np.arange(1, n + 1)) / 3)] for y, n in length.items()}
+    alpha, beta, found = {y: [] for y in length}, {y: [] for y in length}, {}
+    while len(found) < len(length):
+        product = times({y: q[-1] for y, q in basis.items() if y not in found})
+        for y in [y for y in basis if y not in found]:
+            q, w = np.array(basis[y]), product[y]
+            alpha[y].append(float(w @ q[-1]))
+            for _ in range(2):
+                w = w - q.T @ (q @ w)
+            size = float(np.linalg.norm(w))
+            e, u = np.linalg.eigh(np.diag(alpha[y]) + np.diag(beta[y], 1) + np.diag(beta[y], -1))
+            if size * abs(u[-1, -1]) < 1e-10 * abs(e[-1]) or len(q) == length[y] or len(q) == steps:
+                found[y] = float(e[-1])
+            else:
+                beta[y].append(size)
+                basis[y].append(w / size)
+    return found
 
 
 def head_to_head(books: DataFrame, base: str) -> DataFrame:

@@ -265,14 +265,20 @@ def _(s, d):
     return R.tails(settle(long_bars(s, d).select("returns")), "returns")
 
 
-@query("r10_correlation_structure", "year names avg_corr~6 independent_bets~5", """
-WITH r AS (SELECT symbol, period, year(period) AS y, returns FROM panel),
+@query("r10_correlation_structure", "year names avg_corr~6 independent_bets~5 top_share~4", """
+WITH RECURSIVE r AS (SELECT symbol, period, year(period) AS y, returns AS x FROM panel),
 t AS (SELECT y, count(DISTINCT period) AS t FROM r GROUP BY 1),
-m AS (SELECT r.y, symbol, avg(returns) AS m, stddev_pop(returns) AS s, count(returns) AS n FROM r JOIN t ON t.y = r.y GROUP BY 1, 2 HAVING count(returns) >= floor(0.5 * any_value(t)) AND stddev_pop(returns) > 0),
-z AS (SELECT r.y, r.symbol, r.period, (returns - m) / s / sqrt(n) AS z FROM r JOIN m ON m.y = r.y AND m.symbol = r.symbol WHERE returns IS NOT NULL),
-c AS (SELECT a.y, a.symbol AS i, b.symbol AS j, sum(a.z * b.z) AS c FROM z a JOIN z b ON a.y = b.y AND a.period = b.period GROUP BY 1, 2, 3),
-k AS (SELECT y, count(*) AS n FROM m GROUP BY 1)
-SELECT k.y AS year, n AS names, (sum(c) - n) / nullif(n * (n - 1), 0)::DOUBLE AS avg_corr, n * n / sum(c * c) AS independent_bets FROM k JOIN c ON c.y = k.y GROUP BY k.y, n""")
+m AS (SELECT r.y, symbol FROM r JOIN t ON t.y = r.y GROUP BY 1, 2 HAVING count(x) >= floor(0.5 * any_value(t)) AND stddev_pop(x) > 0),
+z AS (SELECT r.* FROM r JOIN m ON m.y = r.y AND m.symbol = r.symbol WHERE x IS NOT NULL),
+c AS MATERIALIZED (SELECT a.y, a.symbol AS i, b.symbol AS j, CASE WHEN a.symbol = b.symbol THEN 1.0 WHEN count(*) > 1 AND stddev_pop(a.x) > 1e-9 * max(abs(a.x)) AND stddev_pop(b.x) > 1e-9 * max(abs(b.x)) THEN corr(a.x, b.x) ELSE 0.0 END AS c
+  FROM z a JOIN z b ON a.y = b.y AND a.period = b.period GROUP BY 1, 2, 3),
+k AS (SELECT y, count(*) AS n FROM m GROUP BY 1),
+v AS (SELECT y, symbol AS i, 1.0::DOUBLE AS v, 0 AS step, 0.0::DOUBLE AS size FROM m
+  UNION ALL SELECT y, i, w / sqrt(sum(w * w) OVER (PARTITION BY y)), step + 1, sqrt(sum(w * w) OVER (PARTITION BY y)) FROM (
+    SELECT c.y, c.i, sum(c.c * v.v) AS w, v.step FROM v JOIN c ON c.y = v.y AND c.j = v.i WHERE v.step < 600 GROUP BY c.y, c.i, v.step)),
+s AS (SELECT y, any_value(size) AS top FROM v WHERE step = 600 GROUP BY 1)
+SELECT k.y AS year, n AS names, (sum(c) - n) / nullif(n * (n - 1), 0)::DOUBLE AS avg_corr, n * n / sum(c * c) AS independent_bets, any_value(top) / n AS top_share
+FROM k JOIN c ON c.y = k.y JOIN s ON s.y = k.y GROUP BY k.y, n""")
 def _(s, d):
     return R.correlation_structure(stored_panel(s, d), share=0.5)
 

@@ -74,13 +74,15 @@ def _(s, d):
 
 
 @query("j10_pairwise_correlation", "year names avg_corr~6", """
-WITH r AS (SELECT symbol, period, year(period) AS y, pnl FROM panel),
-m AS (SELECT y, symbol, avg(pnl) AS m, stddev_pop(pnl) AS s, count(pnl) AS n FROM r GROUP BY 1, 2 HAVING count(pnl) >= floor(0.5 * (SELECT count(DISTINCT period) FROM r r2 WHERE r2.y = r.y)) AND stddev_pop(pnl) > 0),
-z AS (SELECT r.y, r.symbol, r.period, (pnl - m) / s / sqrt(n) AS z FROM r JOIN m ON m.y = r.y AND m.symbol = r.symbol WHERE pnl IS NOT NULL),
-c AS (SELECT a.y, sum(a.z * b.z) AS c FROM z a JOIN z b ON a.y = b.y AND a.period = b.period AND a.symbol < b.symbol GROUP BY a.y, a.symbol, b.symbol)
-SELECT c.y AS year, any_value(k) AS names, sum(c) / (any_value(k) * (any_value(k) - 1) / 2) AS avg_corr FROM c JOIN (SELECT y, count(*) AS k FROM m GROUP BY 1) n ON n.y = c.y GROUP BY 1""")
-def _(s, d):
-    return R.correlation_structure(settle(panel(s, d).select("symbol", "period", F.col("pnl").alias("returns"))), share=0.5)
+WITH r AS (SELECT symbol, period, year(period) AS y, pnl AS x FROM panel),
+m AS (SELECT y, symbol FROM r GROUP BY 1, 2 HAVING count(x) >= floor(0.5 * (SELECT count(DISTINCT period) FROM r r2 WHERE r2.y = r.y)) AND stddev_pop(x) > 0),
+z AS (SELECT r.* FROM r JOIN m ON m.y = r.y AND m.symbol = r.symbol WHERE x IS NOT NULL),
+c AS (SELECT a.y, a.symbol AS i, b.symbol AS j, CASE WHEN a.symbol = b.symbol THEN 1.0 WHEN count(*) > 1 AND stddev_pop(a.x) > 1e-9 * max(abs(a.x)) AND stddev_pop(b.x) > 1e-9 * max(abs(b.x)) THEN corr(a.x, b.x) ELSE 0.0 END AS c
+  FROM z a JOIN z b ON a.y = b.y AND a.period = b.period GROUP BY 1, 2, 3)
+SELECT c.y AS year, any_value(k) AS names, (sum(c.c) - any_value(k)) / (any_value(k) * (any_value(k) - 1)) AS avg_corr FROM c JOIN (SELECT y, count(*) AS k FROM m GROUP BY 1) n ON n.y = c.y GROUP BY 1""")
+def _(s, d):
+    rows = settle(panel(s, d).select("symbol", "period", F.col("pnl").alias("returns")))
+    return R.correlation_structure(rows, share=0.5).select("year", "names", "avg_corr")
 
 
 @query("a1_group_aggregates", "symbol n total~4 mean~6 lo~6 hi~6", "SELECT symbol, count(*) AS n, sum(volume) AS total, avg(close) AS mean, min(low) AS lo, max(high) AS hi FROM bd GROUP BY 1")
