@@ -1,12 +1,14 @@
 """Queries for conditions, statistics, the gate and the trial ledger (M, R, G)."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window, functions as F
 
 from ..functions import moments as M_
 from ..functions.columns import div
 from ..operators import book as K, conditions as M, gate as Gt, panel as P, signals as S, stats as R, trials as Tr
-from ..session import settle
+from ..session import settle, shared_dir
 from . import views as V
 from .bars_and_panel import net_series, panel, stored_panel, trend_weights
 from .books_and_signals import BASKET, FLAT, books, market_up
@@ -380,6 +382,33 @@ def _(s, d):
     return Gt.walk_forward(stored_books(s, d))
 
 
+@query("g7_walk_forward_pick", "t fold book_id r~8", """
+WITH idx AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT t FROM books)),
+f AS (SELECT k AS fold, floor(k * ((n - 104) / 6.0::DOUBLE) + 104.0)::BIGINT AS lo, CASE WHEN k = 5 THEN n ELSE floor((k + 1) * ((n - 104) / 6.0::DOUBLE) + 104.0)::BIGINT END AS hi
+  FROM range(6) q(k), (SELECT DISTINCT n FROM idx)),
+sc AS (SELECT fold, lo, hi, book_id, count(*) FILTER (r > 0) AS up FROM books b JOIN idx ON idx.t = b.t, f WHERE i < lo GROUP BY 1, 2, 3, 4),
+pk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY up DESC, book_id) AS k FROM sc) WHERE k = 1)
+SELECT b.t, fold, b.book_id, r FROM books b JOIN idx ON idx.t = b.t JOIN pk ON pk.book_id = b.book_id AND i >= lo AND i < hi""")
+def _(s, d):
+    # The book with most rising periods so far.
+    up = lambda past: past.groupBy("fold", "book_id").agg(F.count_if(F.col("r") > 0).alias("up")).groupBy("fold").agg(F.min_by("book_id", F.struct(-F.col("up"), F.col("book_id"))).alias("book_id"))
+    return Gt.walk_forward(stored_books(s, d), pick=up)
+
+
+@query("s19_trial_sink", "name periods total~4 recordings digests", """
+SELECT book_id::VARCHAR AS name, count(r) AS periods, sum(r::FLOAT::DOUBLE) AS total, CASE WHEN book_id = 1 THEN 2 ELSE 1 END AS recordings, CASE WHEN book_id = 1 THEN 2 ELSE 1 END AS digests
+FROM (SELECT book_id, CASE WHEN book_id = 1 THEN 2 * r ELSE r END AS r FROM books) GROUP BY book_id""")
+def _(s, d):
+    # All books, the same ones again, which writes nothing, and then one of them changed.
+    path, rows = f"{shared_dir(s)}/tidemark/trials-{uuid.uuid4().hex}", stored_books(s, d).select("book_id", "t", "r")
+    for k, b in enumerate((rows, rows, rows.withColumn("r", F.when(F.col("book_id") == 1, F.col("r") * 2).otherwise(F.col("r"))))):
+        Tr.record(b, path, F.lit(f"2024-01-0{k + 1}").cast("timestamp"))
+    sink = s.read.parquet(path)
+    said = sink.groupBy("name").agg(F.count_distinct("recorded").alias("recordings"), F.count_distinct("digest").alias("digests"))
+    last = Tr.latest(sink).groupBy("name").agg(F.count("r").alias("periods"), F.sum(F.col("r").cast("double")).alias("total"))
+    return last.join(said, "name")
+
+
 @query("g8_pbo", "combos pbo~6", """
 WITH ok AS (SELECT t FROM books GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT book_id) FROM books)),
 bl AS (SELECT t, ntile(16) OVER (ORDER BY t) - 1 AS b FROM ok),

@@ -4,9 +4,10 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ..functions.columns import DAY, HOUR
+from ..functions.columns import DAY, HOUR, micros
+from ..operators.ordered import running
 from ..session import settle, shared_dir
 from ..streaming import flows as T, keyed as K
 from . import views as V
@@ -75,7 +76,8 @@ SELECT instrument, t, kind, seq, row_number() OVER (PARTITION BY instrument ORDE
   SELECT instrument, t, seq, 'trade' AS kind, 0 AS b FROM fills UNION ALL SELECT instrument, t, 0, 'mark_kline', 1 FROM marks)""")
 def _(s, d):
     order = T.replay_order(F.col("kind"), "t", "seq")
-    return mark_events(s, d).withColumn("position", F.row_number().over(Window.partitionBy("instrument").orderBy(*order)))
+    events = settle(mark_events(s, d))
+    return running(events, ["instrument"], order, F.floor(micros(events, "t") / F.lit(32 * DAY)), sums={"position": F.lit(1).cast("bigint")})
 
 
 @query("t2_merged_streams", "batch day n", f"""
