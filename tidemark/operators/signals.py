@@ -50,7 +50,7 @@ def basket(panel: DataFrame, floor: float, by: Sequence[str] = (), name: str = "
 
 
 def market_timing(panel: DataFrame, n: int, floor: float, by: Sequence[str] = ()) -> DataFrame:
-    """(by, period, timing): the lagged sign of the average liquid coin's trailing return."""
+    """(by, period, timing): 1 or -1 as the liquid coins' mean return over the n periods before rose or fell, 0 if neither."""
     w = _per(by).orderBy("period")
     m = market_return(panel, floor, by)
     m = m.withColumn("__t", F.signum(rolling(F.sum, F.col("market"), w.rowsBetween(-(n - 1), 0), n)))
@@ -58,7 +58,7 @@ def market_timing(panel: DataFrame, n: int, floor: float, by: Sequence[str] = ()
 
 
 def market_book(panel: DataFrame, n: int, floor: float, by: Sequence[str] = ()) -> DataFrame:
-    """The basket all long or all short on the market's trailing return."""
+    """basket with every weight turned by market_timing, so that it stands wholly on one side."""
     t = market_timing(panel, n, floor, by)
     return (basket(panel, floor, by).join(t, [*by, "period"], "left")
             .withColumn("weight", F.col("weight") * F.col("timing")).drop("timing"))
