@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import DAY, micros, rolling, rolling_median
 from .grid import with_bar
+from .quantiles import trailing
 
 # Symbol and the day trading resumed at a new denomination, so the gap is not a move.
 REDENOMINATIONS = (("BNXUSDT", "2023-02-22"), ("VENUSDT", "2018-10-19"))
@@ -107,10 +108,17 @@ def with_vol(bars: DataFrame, span: int, least: int, at: str = "at", source: str
     return out.withColumn(name, F.lag(name).over(own(at))) if shift else out
 
 
-def with_liquidity(bars: DataFrame, span: int, least: int, at: str = "at") -> DataFrame:
-    """Adds the median dollar volume over a trailing span of time, as of the coin's bar before."""
-    x = rolling_median("dollar_volume", _span(bars, at, span), least)
-    return bars.withColumn("liquidity", x).withColumn("liquidity", F.lag("liquidity").over(own(at)))
+def with_liquidity(bars: DataFrame, span: int, least: int, at: str = "at", fine: bool = False) -> DataFrame:
+    """Adds the median dollar volume over a trailing span of time, as of the coin's bar before.
+
+    fine is for spans of more than some hundred bars, such as a month of minutes: each bar then costs the logarithm of its span
+    and not a sort of it. The result is the same.
+    """
+    if fine:
+        out = trailing(bars, ["symbol"], micros(bars, at), "dollar_volume", {"liquidity": 0.5}, least, span)
+    else:
+        out = bars.withColumn("liquidity", rolling_median("dollar_volume", _span(bars, at, span), least))
+    return out.withColumn("liquidity", F.lag("liquidity").over(own(at)))
 
 
 def with_market(bars: DataFrame, floor: float, at: str = "at") -> DataFrame:

@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import at_least, rolling, rolling_median, week_end
 from .grid import bar_grid, period_grid
+from .quantiles import trailing
 
+SORTED = 256  # rows of a frame up to which a bar sorts its own
 
 
 def own(by: Sequence[str] = ()):
@@ -29,11 +31,17 @@ def lagged(name: str, by: Sequence[str] = (), n: int = 1) -> Column:
 
 
 def rolled_bars(bars: DataFrame, rows: int = 30, least: int = 20) -> DataFrame:
-    """bars on the dense global bar grid with the rolling median dollar volume and the flags periods need."""
+    """bars on the dense global bar grid with the rolling median dollar volume and the flags periods need.
+
+    Long spans slide (see quantiles); sorting a short one for each bar is cheaper than a Python worker.
+    """
     g = bar_grid(bars)
     w = Window.partitionBy("symbol").orderBy("bar")
     g = g.withColumn("traded", F.coalesce("traded", F.lit(False)))
-    return (g.withColumn("__liq", rolling_median("dollar_volume", w.rowsBetween(-(rows - 1), 0), least))
+    # On the dense grid the last rows bars are a span of bar numbers.
+    g = (g.withColumn("__liq", rolling_median("dollar_volume", w.rowsBetween(-(rows - 1), 0), least)) if rows <= SORTED
+         else trailing(g, ["symbol"], F.col("bar"), "dollar_volume", {"__liq": 0.5}, least, rows))
+    return (g
             .withColumn("__reopen", F.col("traded") & ~F.coalesce(F.lag("traded").over(w), F.lit(False)))
             .withColumn("__later", F.coalesce(F.max(F.when(F.col("traded"), F.col("bar"))).over(Window.partitionBy("symbol"))
                                               >= F.col("bar"), F.lit(False))))

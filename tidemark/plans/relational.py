@@ -206,8 +206,8 @@ def _(s, d):
 @query("w6_expanding_quantile", "period q~8", """
 SELECT period, CASE WHEN count(market) OVER w >= 10 THEN quantile_cont(market, 0.5) OVER w END AS q FROM wmarket WINDOW w AS (ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def _(s, d):
-    from ..operators.conditions import past_quantile
-    return P.market_return(panel(s, d), FLOOR).withColumn("q", past_quantile("market", 0.5, 10))
+    from ..operators.conditions import past_quantiles
+    return past_quantiles(P.market_return(panel(s, d), FLOOR), "market", {"q": 0.5}, 10)
 
 
 @query("w7_ranks", "symbol at dense num average~1", """
