@@ -42,6 +42,35 @@ def test_effective_trials_counts_independent_books_once(spark):
     assert abs(lone - 10) < 1.5 and abs(twin - 2) < 0.3
 
 
+def test_counted_normals_are_normal_and_their_own(spark):
+    g = G.normals(0, np.arange(200)[:, None], np.arange(4000))
+    assert abs(g.mean()) < 0.005 and abs(g.var() - 1) < 0.01 and abs((g ** 4).mean() - 3) < 0.05
+    assert np.abs(np.corrcoef(g) - np.eye(200)).max() < 0.1 and np.abs(np.corrcoef(g[:, :200].T) - np.eye(200)).max() < 0.45
+    assert not np.allclose(g, G.normals(1, np.arange(200)[:, None], np.arange(4000)))
+    # SQL's integers hold every product.
+    x = G.PRIME - 1
+    assert 0 <= G.mixed(np.array([x]))[0] < G.PRIME and x * x < 2 ** 63
+    assert len(np.unique(G.mixed(np.arange(100_000)))) == 100_000
+
+
+def test_effective_trials_equals_its_matrix_for_any_groups_and_blocks(spark):
+    rng = np.random.default_rng(4)
+    x = {f"b{i}": [math.nan if rng.random() < 0.2 else v for v in rng.normal(size=50)] for i in range(7)} | {"flat": [0.5] * 50}
+    frame = books(spark, x).withColumn("r", F.when(~F.isnan("r"), F.col("r")))
+    rows = frame.filter(F.col("r").isNotNull()).toPandas()
+    pos = {t: k for k, t in enumerate(sorted(rows.t.unique()))}
+    best = np.full(500, -np.inf)
+    for name, b in rows.groupby("book_id"):
+        if name != "flat":
+            z = (b.r - b.r.mean()) / b.r.std(ddof=0) / math.sqrt(len(b))
+            best = np.maximum(best, z.to_numpy() @ G.normals(3, b.t.map(pos).to_numpy()[:, None], np.arange(500)))
+    for group, span in ((2, 7), (32, 64), (1, 1000)):
+        got = G.effective_trials(frame, draws=500, seed=3, group=group, span=span).first()
+        assert abs(got.expected_best - best.mean()) < 1e-9
+    more = G.effective_trials(frame, draws=500, seed=3, extra=40).first()
+    assert more.expected_best > got.expected_best + 0.3 and more.trials > got.trials + 15
+
+
 def test_pbo_equals_brute_force(spark):
     rng = np.random.default_rng(2)
     m = rng.normal(0.02, 1, size=(83, 5))

@@ -329,7 +329,30 @@ def _(s, d):
     return books(s, d).groupBy("book_id").agg((F.lit(EMAX6) / F.sqrt(F.count("r") - 1) * F.sqrt(F.lit(52.0))).alias("luck"))
 
 
-@query("g3_effective_trials", "trials~4 expected_best~4")
+def mixed(source, c):
+    """source with its column c permuted as gate.mixed does."""
+    for add in Gt.ROUNDS:
+        source = f"SELECT * REPLACE ({c} * {c} % {Gt.PRIME} * {c} % {Gt.PRIME} * {c} % {Gt.PRIME} * {c} % {Gt.PRIME} AS {c}) FROM (SELECT * REPLACE (({c} + {add}) % {Gt.PRIME} AS {c}) FROM ({source}))"
+    return source
+
+
+HASHED = mixed(f"SELECT pos, d, (h + d) % {Gt.PRIME} AS h FROM ({mixed('SELECT pos, pos AS h FROM (SELECT DISTINCT pos FROM zs)', 'h')}), range(20000) r(d)", "h")
+UNIFORMS = mixed(mixed(f"SELECT pos, d, h AS a, (h + 1) % {Gt.PRIME} AS b FROM ({HASHED})", "a"), "b")
+# The count whose E[max] is the mean of the bests, by bisection on its logarithm; E[max of n] is the integral of x * n * density * F**(n - 1).
+TRIALS = f"""SELECT exp(lo) AS trials, top AS expected_best FROM (SELECT * FROM bisect ORDER BY k DESC LIMIT 1)"""
+TRIAL_CTES = {
+    "zs": """SELECT book_id, pos, (r - avg(r) OVER w) / stddev_pop(r) OVER w / sqrt(count(r) OVER w) AS z
+      FROM (SELECT book_id, r, dense_rank() OVER (ORDER BY t) - 1 AS pos FROM books WHERE r IS NOT NULL) WINDOW w AS (PARTITION BY book_id)""",
+    "gs": f"SELECT pos, d, sqrt(-2 * ln((a + 0.5::DOUBLE) / {Gt.PRIME})) * cos(2 * pi() * (b + 0.5::DOUBLE) / {Gt.PRIME}) AS g FROM ({UNIFORMS})",
+    "bests": "SELECT avg(top) AS top FROM (SELECT d, max(s) AS top FROM (SELECT book_id, d, sum(z * g) AS s FROM zs JOIN gs ON gs.pos = zs.pos GROUP BY 1, 2) GROUP BY 1)",
+    "dens": "SELECT x, w, sum(w) OVER (ORDER BY x ROWS UNBOUNDED PRECEDING) - w / 2 AS f FROM (SELECT (i - 32000) / 4000.0::DOUBLE AS x, exp(-pow((i - 32000) / 4000.0::DOUBLE, 2) / 2) / sqrt(2 * pi()) / 4000.0 AS w FROM range(64001) r(i))",
+    "bisect": """SELECT 0 AS k, 0.0::DOUBLE AS lo, 8.0::DOUBLE AS hi, top FROM bests UNION ALL
+      SELECT k + 1, CASE WHEN e < top THEN (lo + hi) / 2 ELSE lo END, CASE WHEN e < top THEN hi ELSE (lo + hi) / 2 END, top
+      FROM (SELECT k, lo, hi, top, sum(x * exp((lo + hi) / 2) * w * pow(f, exp((lo + hi) / 2) - 1)) AS e FROM bisect JOIN dens ON k < 32 GROUP BY 1, 2, 3, 4)""",
+}
+
+
+@query("g3_effective_trials", "trials~4 expected_best~4", TRIALS, ctes=TRIAL_CTES)
 def _(s, d):
     return Gt.effective_trials(stored_books(s, d))
 

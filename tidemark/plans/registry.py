@@ -44,14 +44,15 @@ def tidy(df: DataFrame, spec: str) -> DataFrame:
 def oracle(body: str, spec: str | None = None, ctes: dict[str, str] | None = None) -> str:
     """body with the common table expressions it names, in dependency order, and the spec's rounding."""
     need: list[str] = []
+    seen: set[str] = set()
     known = {**CTES, **(ctes or {})}
 
     def visit(text):
         for name in known:
-            if name not in need and re.search(rf"\b(FROM|JOIN)\s+{name}\b", text):
+            if name not in seen and re.search(rf"\b(FROM|JOIN)\s+{name}\b", text):
+                seen.add(name)
                 visit(known[name])
-                if name not in need:
-                    need.append(name)
+                need.append(name)
 
     visit(body)
     if spec is not None:
