@@ -36,6 +36,64 @@ def test_files_and_zips_read_alike(spark, tmp_path):
     assert spanned.select("file").distinct().count() == 1
 
 
+def test_zip_lines_are_the_files_lines_at_any_block_size(tmp_path, monkeypatch):
+    from tidemark.sources import zipped as Z
+    for k, (text, want) in enumerate([("", []), ("a", ["a"]), ("a\n", ["a"]), ("a\r\n\r\n\nb\r\r\nc\rd\u2028e\n", ["a", "", "", "b\r", "c\rd\u2028e"]), ("\n\nß" * 40, ["", ""] + ["ß", ""] * 39 + ["ß"])]):
+        path = tmp_path / f"A-1h-2024-0{k + 1}.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            z.writestr("x.csv", text)
+        for size in (1, 3, 1 << 20):
+            monkeypatch.setattr(Z, "BATCH_BYTES", size)
+            reader = Z._Reader({"path": str(path)})
+            got = [r for part in reader.partitions() for b in reader.read(part) for r in b.to_pylist()]
+            assert [r["line"] for r in got] == want and [r["n"] for r in got] == list(range(len(want)))
+            assert {(r["symbol"], r["stamp"]) for r in got} <= {("A", f"2024-0{k + 1}")}
+    broken = tmp_path / "B-1h-2024-01.zip"
+    with zipfile.ZipFile(broken, "w") as z:
+        z.writestr("x.csv", b"ok\n\xff\xfe\n")
+    monkeypatch.setattr(Z, "BATCH_BYTES", 3)
+    reader = Z._Reader({"path": str(broken)})
+    assert [r["line"] for part in reader.partitions() for b in reader.read(part) for r in b.to_pylist()] == ["ok", None]
+
+
+def test_filters_on_names_open_only_matching_zips(spark, tmp_path, monkeypatch):
+    from pyspark.sql import datasource as D
+    from tidemark.sources import zipped as Z
+    for symbol in ("BTC", "ETH", "X-Y"):
+        (tmp_path / symbol / "1h").mkdir(parents=True)
+        for month in range(1, 7):
+            name = f"{symbol}-1h-2024-{month:02}"
+            with zipfile.ZipFile(tmp_path / symbol / "1h" / f"{name}.zip", "w") as z:
+                z.writestr(f"{name}.csv", KLINE + "\n")
+    (tmp_path / "ETH" / "1h" / "ETH-1h-2024-06.zip").write_bytes(b"no archive")
+    (tmp_path / "odd.zip").write_bytes(b"no archive")
+    root = str(tmp_path)
+
+    def opened(filters, **options):
+        reader = Z._Reader({"path": root, **options})
+        left = list(reader.pushFilters(filters))
+        return [p.rsplit("/", 1)[-1] for part in reader.partitions() for p in reader.paths(part)], left
+
+    assert len(opened([])[0]) == 19
+    eth, left = opened([D.IsNotNull(("symbol",)), D.EqualTo(("symbol",), "ETH"), D.LessThan(("stamp",), "2024-03"), D.EqualTo(("line",), "x"), D.Not(D.EqualTo(("symbol",), "BTC"))])
+    assert eth == ["ETH-1h-2024-01.zip", "ETH-1h-2024-02.zip"] and len(left) == 2
+    assert len(opened([D.In(("symbol",), ("X-Y", "BTC"))], first="2024-05")[0]) == 4 and opened([D.EqualTo(("symbol",), "none")])[0] == []
+    # Large folders are dealt by name, each file to one share, and small ones are packed.
+    whole = sorted(opened([])[0])
+    size = (tmp_path / "BTC" / "1h" / "BTC-1h-2024-01.zip").stat().st_size
+    for limit, parts in ((2 * size, 10), (7 * size, 4), (1 << 20, 1)):
+        monkeypatch.setattr(Z, "TASK_BYTES", limit)
+        assert sorted(opened([])[0]) == whole and len(Z._Reader({"path": root}).partitions()) <= parts
+    monkeypatch.undo()
+    lines = A.with_stream(A.zipped_lines(spark, root))
+    some = A.read_klines(lines).filter((F.col("symbol") == "ETH") & (F.col("stamp") < "2024-06")).select("file", "status")
+    assert [r.status for r in some.collect()] == ["parsed"] * 5
+    assert A.read_klines(lines).filter(F.col("symbol").isin("ETH", "")).filter("status = 'failed'").count() == 2
+    assert A.read_klines(lines).filter(F.col("symbol") == "none").collect() == []
+    one = A.zipped_lines(spark, f"{root}/BTC/1h/BTC-1h-2024-01.zip")
+    assert one.count() == 1 and one.filter(F.col("symbol") == "ETH").count() == 0
+
+
 def test_trade_rows(spark):
     ok = ["1,10.5,2,5,6,1704067200000,true", "2,10.5,2,7,7,1704067200001,False"]
     bad = ["3,0,2,5,6,1704067200000,true", "4,1,2,6,5,1704067200000,true", "5,1,2,5,6,1704067200000,TRUE", "6,1,2,5,6,1704067200000,true,true",

@@ -209,6 +209,15 @@ def _(s, d):
     return rows.withColumn("failed", F.col("status") == "failed")
 
 
+@query("s13_zip_filter", "symbol open_time_ns close~6 failed", """
+SELECT symbol, epoch_ns(at::TIMESTAMP) AS open_time_ns, close, false AS failed FROM bd WHERE day(at) <> 13 AND year(at) BETWEEN 1997 AND 1999 AND symbol IN ('Brand#11', 'Brand#25', 'Brand#33')""")
+def _(s, d):
+    # Filters as a user writes them, after the reader; names outside them are broken files, which would give failed rows.
+    raw = A.with_stream(A.zipped_lines(s, zip_archive(s, d, BROKEN)))
+    rows = A.read_klines(raw, "usdm").filter(F.col("status").isin("parsed", "failed")).withColumn("failed", F.col("status") == "failed")
+    return rows.filter(F.col("symbol").isin("Brand#11", "Brand#25", "Brand#33") & (F.col("start") >= "1997-01-01") & (F.col("stamp") >= "1997") & (F.col("stamp") < "2000"))
+
+
 @query("s13_text_span", "symbol open_time_ns close~6", """
 SELECT symbol, epoch_ns(at::TIMESTAMP) AS open_time_ns, close FROM bd WHERE day(at) <> 13 AND at >= DATE '1997-03-01' AND at < DATE '1997-06-01'""")
 def _(s, d):
