@@ -292,6 +292,41 @@ def past_and_next(panel: DataFrame, lookbacks: Sequence[int], limit_floor: float
             .select("symbol", "period", "__p.lookback", "__p.past", "nxt"))
 
 
+def predictability(panel: DataFrame, lookbacks: Sequence[int], floor: float, min_names: int = 20, window: int = 12, least: int = 8,
+                   yearly: bool = False) -> DataFrame:
+    """(lookback[, year], leg, value, t, n): how far the past n periods tell the next one, each return in units of the spread known before it.
+
+    leg own pools coins and periods: correlation, and its root-n multiple. leg market does so for the mean return of the liquid coins. leg relative
+    takes what a coin makes beyond that mean: the rank correlation across the coins of each period with at least min_names of
+    them, averaged, with its t over periods. A leg without values has no row. The panel is read three times: store an expensive one first.
+    """
+    from .panel import market_return, own
+    year = [F.year("period").cast("bigint").alias("year")] if yearly else []
+    keys = ["lookback", *(["year"] if yearly else [])]
+
+    def legs(rows, name, over, vol):
+        """rows with past and nxt of the column per lookback, scaled by vol."""
+        back = lambda n: over.rowsBetween(-(n - 1), 0)
+        rows = rows.withColumn("__vol", F.lag(rolling(F.stddev_samp, F.col(name), back(window), least)).over(over))
+        pasts = F.array(*[F.struct(F.lit(n).cast("bigint").alias("lookback"), div(rolling(F.sum, F.col(name), back(n), n), F.col("__vol") * F.sqrt(F.lit(float(n)))).alias("past"))
+                          for n in lookbacks])
+        return rows.withColumns({"nxt": vol(F.col("__vol"), over), "__p": pasts}).select("*", F.inline("__p"))
+
+    paired = lambda rows: rows.groupBy(*keys).agg(corr("past", "nxt").alias("value"), F.count(F.when(F.col("past").isNotNull() & F.col("nxt").isNotNull(), 1)).alias("n"))
+    alone = pooled_correlation(past_and_next(panel, lookbacks, floor).select("*", *year), "past", "nxt", by=keys).withColumnRenamed("corr", "value")
+    market = market_return(panel, floor)
+    both = paired(legs(market, "market", _per(()).orderBy("period"), lambda v, w: div(F.lead("market").over(w), v)).select("*", *year))
+    beyond = panel.join(market, "period").withColumn("__rel", F.when(F.col("liquidity") >= floor, F.col("returns")) - F.col("market"))
+    # The next period's excess is in units of its own spread, which is known before it.
+    beyond = legs(beyond, "__rel", own(), lambda v, w: F.lead(div(F.col("__rel"), v)).over(w))
+    ics = rank_ic(beyond, "past", "nxt", min_names, ("lookback",)).select("*", *year)
+    ranks = ics.groupBy(*keys).agg(F.avg("ic").alias("value"), F.stddev_samp("ic").alias("__s"), F.count(F.lit(1)).alias("n"))
+    root = F.sqrt(F.col("n").cast("double"))
+    made = lambda rows, leg, t: rows.filter(F.col("value").isNotNull()).select(*keys, F.lit(leg).alias("leg"), "value", t.alias("t"), "n")
+    return (made(alone, "own", F.col("value") * root).unionByName(made(both, "market", F.col("value") * root))
+            .unionByName(made(ranks, "relative", div(F.col("value"), F.col("__s")) * root)))
+
+
 def histogram(rows: DataFrame, x: str, lo: float, hi: float, bins: int, by: Sequence[str] = ()) -> DataFrame:
     """Counts per equal bin of x held within [lo, hi], the top edge in the last bin."""
     b = F.least(F.greatest(F.floor((F.col(x) - F.lit(lo)) / F.lit((hi - lo) / bins)), F.lit(0)), F.lit(bins - 1))

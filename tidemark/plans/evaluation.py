@@ -301,6 +301,48 @@ def _(s, d):
     return p.filter(F.col("n") >= 6).withColumn("t", F.col("corr") * F.sqrt("n"))
 
 
+LEGS = (1, 2, 4)
+# Few brands of the tables have a known liquidity and full weeks together: for the legs one bar makes a week, and an unknown liquidity is 0, at the floor of 0.
+LEG_CTES = {
+    "pa": CTES["pa"].replace(">= 2 THEN sum(returns)", ">= 1 THEN sum(returns)"),
+    "lmarket": "SELECT period, avg(CASE WHEN coalesce(liquidity, 0) >= 0 THEN returns END) AS market FROM panel GROUP BY 1",
+    "mlegs": " UNION ALL ".join(f"""SELECT {n}::BIGINT AS lookback, period, CASE WHEN count(market) OVER r = {n} THEN sum(market) OVER r END / nullif(vol * sqrt({n}), 0) AS past,
+      lead(market) OVER (ORDER BY period) / nullif(vol, 0) AS nxt FROM mvol WINDOW r AS (ORDER BY period ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)""" for n in LEGS),
+    "mvol": """SELECT period, market, lag(v) OVER (ORDER BY period) AS vol FROM (SELECT period, market, CASE WHEN count(market) OVER w >= 8 THEN stddev_samp(market) OVER w END AS v
+      FROM lmarket WINDOW w AS (ORDER BY period ROWS BETWEEN 11 PRECEDING AND CURRENT ROW))""",
+    "rel": "SELECT symbol, p.period, CASE WHEN coalesce(liquidity, 0) >= 0 THEN returns END - market AS rel FROM panel p JOIN lmarket m ON m.period = p.period",
+    "rvol": """SELECT symbol, period, rel, lag(v) OVER (PARTITION BY symbol ORDER BY period) AS vol FROM (SELECT *, CASE WHEN count(rel) OVER w >= 8 THEN stddev_samp(rel) OVER w END AS v
+      FROM rel WINDOW w AS (PARTITION BY symbol ORDER BY period ROWS BETWEEN 11 PRECEDING AND CURRENT ROW))""",
+    "rlegs": " UNION ALL ".join(f"""SELECT {n}::BIGINT AS lookback, period, CASE WHEN count(rel) OVER r = {n} THEN sum(rel) OVER r END / nullif(vol * sqrt({n}), 0) AS signal,
+      lead(rel / nullif(vol, 0)) OVER (PARTITION BY symbol ORDER BY period) AS forward FROM rvol WINDOW r AS (PARTITION BY symbol ORDER BY period ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)""" for n in LEGS),
+    "rics": """SELECT lookback, period, corr(a, f) AS ic FROM (
+      SELECT lookback, period, rank() OVER (PARTITION BY lookback, period ORDER BY signal) + (count(*) OVER (PARTITION BY lookback, period, signal) - 1) / 2.0 AS a,
+             rank() OVER (PARTITION BY lookback, period ORDER BY forward) + (count(*) OVER (PARTITION BY lookback, period, forward) - 1) / 2.0 AS f
+      FROM rlegs WHERE signal IS NOT NULL AND forward IS NOT NULL) GROUP BY 1, 2 HAVING count(*) >= 8 AND min(a) < max(a) AND min(f) < max(f)""",
+}
+
+
+OWN_LEG = PAST_NEXT.replace(f"liquidity >= {FLOOR}", "coalesce(liquidity, 0) >= 0")
+
+
+def legs_sql(key):
+    return f"""SELECT lookback, {key} leg, value, CASE WHEN leg = 'relative' THEN value / nullif(s, 0) ELSE value END * sqrt(n) AS t, n FROM (
+  SELECT lookback, {key} 'own' AS leg, corr(past, nxt) AS value, NULL::DOUBLE AS s, count(*) AS n FROM (SELECT *, year(period) AS year FROM ({OWN_LEG})) WHERE abs(past) < 10 AND abs(nxt) < 10 GROUP BY ALL
+  UNION ALL SELECT lookback, {key} 'market', corr(past, nxt), NULL, count(*) FROM (SELECT *, year(period) AS year FROM mlegs) WHERE past IS NOT NULL AND nxt IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lookback, {key} 'relative', avg(ic), stddev_samp(ic), count(*) FROM (SELECT *, year(period) AS year FROM rics) GROUP BY ALL)
+WHERE value IS NOT NULL AND NOT isnan(value)"""
+
+
+@query("r12_legs", "lookback leg value~6 t~5 n", legs_sql(""), ctes=LEG_CTES)
+def _(s, d):
+    return R.predictability(settle(panel(s, d, min_bars=1)).fillna(0.0, ["liquidity"]), LEGS, 0.0, min_names=8)
+
+
+@query("r12_legs_by_year", "lookback year leg value~6 t~4 n", legs_sql("year,"), ctes=LEG_CTES)
+def _(s, d):
+    return R.predictability(settle(panel(s, d, min_bars=1)).fillna(0.0, ["liquidity"]), LEGS, 0.0, min_names=8, yearly=True)
+
+
 # The gate ---------------------------------------------------------------------------------------------------
 
 from ..functions.normal import expected_max  # noqa: E402
