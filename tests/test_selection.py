@@ -1,4 +1,5 @@
 """Exact medians by selection against sorting."""
+import datetime as dt
 import math
 import random
 import statistics
@@ -36,3 +37,12 @@ def test_impact_looks_back_over_hours(spark):
     got = {(r.symbol, r.day.day): (r.impact_bps_per_unit, r.n_trades) for r in C.impact_per_unit(df).collect()}
     step = lambda a, b, q: abs(math.log(b) - math.log(a)) / q * 1e4
     assert set(got) == {("a", 1), ("b", 1)} and got["a", 1] == (pytest.approx((step(100, 101, 2) + step(99, 98, 4)) / 2), 4) and got["b", 1] == (pytest.approx(step(50, 60, 1)), 2)
+
+
+def test_impact_of_a_price_of_zero_is_infinite(spark):
+    at = lambda n: dt.datetime(2024, 1, 1, 9, n)
+    prices = {"a": [2.0, 0.0], "b": [1.0, 0.0, 4.0], "c": [1.0, 2.0, 0.0], "d": [1.0, 2.0, 4.0, 0.0], "e": [0.0, 0.0], "f": [1.0, None]}
+    df = spark.createDataFrame([(n, s, at(n), p, 1.0) for s, ps in prices.items() for n, p in enumerate(ps)], "id bigint, symbol string, ts timestamp, price double, qty double")
+    got = {r.symbol: r.impact_bps_per_unit for r in C.impact_per_unit(df).collect()}
+    assert math.isnan(got.pop("e"))
+    assert got == {"a": math.inf, "b": math.inf, "c": math.inf, "d": pytest.approx(1e4 * math.log(2))}
