@@ -3,6 +3,7 @@ import random
 import re
 import textwrap
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -78,6 +79,37 @@ def test_repeats_without_rows(no_docs):
     assert substrings.repeats(no_docs).count() == 0
 
 
+def test_matching_a_range_of_hashes_needs_little_beside_them():
+    import tracemalloc
+    rng = np.random.default_rng(5)
+    n, units = 40_000, 30
+    keys = [np.unique(rng.integers(0, 1 << 26, n).astype(np.uint64)) for _ in range(units)]
+    flags = [(rng.integers(0, 4, len(k)) & rng.integers(0, 4, len(k))).astype(np.uint8) for k in keys]
+    checks = [k // np.uint64(2) + (rng.random(len(k)) < 0.1).astype(np.uint64) for k in keys]
+
+    def matched(extra):
+        table = pa.table([pa.array(range(units), pa.int32()), pa.array([packed.pack(k, True) for k in keys], pa.binary()),
+                          pa.array([packed.pack(c) for c in extra] if extra else [None] * units, pa.binary()), pa.array([packed.pack(f) for f in flags], pa.binary())],
+                         names=["unit", "keys", "checks", "flags"])
+        tracemalloc.start()
+        got = substrings._matched((None,), table)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return {u: packed.unpack(k, np.uint64, True).tolist() for u, k in zip(got["unit"].to_pylist(), got["keys"].to_pylist())}, peak / sum(map(len, keys))
+
+    n_of, blocks = Counter(), set()
+    for k, f in zip(keys, flags):
+        n_of.update(dict(zip(k.tolist(), (1 + (f & 1)).tolist())))
+        blocks.update(k[(f & 2) > 0].tolist())
+    got, bytes_each = matched(None)
+    assert got == {u: [x for x in k.tolist() if n_of[x] > 1 and x in blocks] for u, k in enumerate(keys)} and bytes_each < 32
+    n_of = Counter()
+    for k, c, f in zip(keys, checks, flags):
+        n_of.update(dict(zip(zip(k.tolist(), c.tolist()), (1 + (f & 1)).tolist())))
+    got, bytes_each = matched(checks)
+    assert got == {u: [x for x, y in zip(k.tolist(), c.tolist()) if n_of[x, y] > 1] for u, (k, c) in enumerate(zip(keys, checks))} and bytes_each < 45
+
+
 @pytest.mark.parametrize("limits", [(2000, 1_500_000), (3, 300)])
 def test_near_duplicates(odd_docs, odd_rows, spark, words, limits, monkeypatch):
     """Small limits branch every node and cut every cluster into blocks."""

@@ -77,35 +77,52 @@ def _sent(unit: int, ranges: int, keys: np.ndarray, checks: np.ndarray | None, f
 
 def _matched(key: tuple, table: pa.Table) -> pa.Table:
     """Hashes of a range that stand in two places, with a block among them if blocks were sent, for each unit that holds them."""
-    units = table["unit"].to_pylist()
-    keys = [unpack(k, np.uint64, True) for k in table["keys"].to_pylist()]
-    flags = np.concatenate([unpack(f, np.uint8) for f in table["flags"].to_pylist()])
-    edge = np.cumsum([0, *map(len, keys)])
-    values = np.concatenate(keys)
-    del keys
-    if table["checks"].null_count < len(table):
-        # Both hashes must agree: rank the pairs.
-        checks = np.concatenate([unpack(c, np.uint64) for c in table["checks"].to_pylist()])
-        order = np.lexsort((checks, values))
-        new = np.ones(len(order), bool)
-        new[1:] = (values[order][1:] != values[order][:-1]) | (checks[order][1:] != checks[order][:-1])
-        place = np.empty(len(order), np.int64)
-        place[order] = np.cumsum(new) - 1
-        size, anchored = int(new.sum()), True
+    units, checked = table["unit"].to_pylist(), table["checks"].null_count < len(table)
+    flags = [unpack(f.as_py(), np.uint8) for f in table["flags"]]
+    edge, flags = np.cumsum([0, *map(len, flags)]), np.concatenate(flags)
+    keys = _flat(table["keys"], edge, True)
+    if checked:
+        hit = agreed(keys, _flat(table["checks"], edge), flags)
+        own = (keys[a:b][hit[a:b]] for a, b in zip(edge, edge[1:]))
     else:
-        every, place = np.unique(values, return_inverse=True)
-        size, anchored = len(every), False
-    n = np.bincount(place, 1 + (flags & TWICE), size)
-    hit = n > 1
-    if not anchored:
-        block = np.zeros(size, bool)
-        block[place[(flags & BLOCK) > 0]] = True
-        hit &= block
-    own = hit[place]
-    rows = [(u, pack(values[a:b][own[a:b]], True)) for u, a, b in zip(units, edge, edge[1:]) if own[a:b].any()]
+        hits = anchored(keys, flags)
+        own = (keys[a:b][among(keys[a:b], hits)] for a, b in zip(edge, edge[1:]))
+    rows = [(u, pack(k, True)) for u, k in zip(units, own) if len(k)]
     return pa.table([pa.array([u for u, _ in rows], pa.int32()), pa.array([k for _, k in rows], pa.binary())], names=["unit", "keys"])
 
 
+def _flat(packed: pa.ChunkedArray, edge: np.ndarray, differences: bool = False) -> np.ndarray:
+    """The hashes of all rows, unpacked row by row into one array."""
+    out = np.empty(edge[-1], np.uint64)
+    for row, a, b in zip(packed, edge, edge[1:]):
+        out[a:b] = unpack(row.as_py(), np.uint64, differences)
+    return out
+
+
+def anchored(keys: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    """Keys that stand in two places or are flagged TWICE, and are flagged BLOCK somewhere; each once, in order."""
+    every = np.sort(keys)
+    found = every[1:][every[1:] == every[:-1]]
+    del every
+    found = np.unique(np.concatenate([found, keys[(flags & TWICE) > 0]]))
+    return found[among(found, np.sort(keys[(flags & BLOCK) > 0]))]
+
+
+def agreed(keys: np.ndarray, checks: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    """Which places hold a pair of both hashes that stands in another place too or is flagged TWICE."""
+    order = np.lexsort((checks, keys))
+    same = np.ones(max(len(order) - 1, 0), bool)
+    # One hash at a time is put in order.
+    for hashes in (keys, checks):
+        ranked = hashes[order]
+        same &= ranked[1:] == ranked[:-1]
+        del ranked
+    hit = (flags & TWICE) > 0
+    hit[order[1:][same]] = True
+    hit[order[:-1][same]] = True
+    return hit
+
+
 def _told(found: pa.Table) -> np.ndarray:
     return np.sort(np.concatenate([np.zeros(0, np.uint64), *[unpack(k, np.uint64, True) for k in found["keys"].to_pylist()]]))
 

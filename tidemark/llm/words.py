@@ -1,6 +1,6 @@
 """Whole texts as arrays inside tasks: words, their 64-bit hashes and hashes of runs of words.
 
-Everything works on slices of an Arrow batch, a few MB of text or one longer
+Everything works on slices of an Arrow batch, half a MB of text or one longer
 text, straight on Arrow's bytes. A null text has no words.
 """
 from __future__ import annotations
@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-SLICE = 2 << 20
+SLICE = 1 << 19
 #: Odd, so that they have inverses modulo 2**64; 5 modulo 8, so that their powers differ early.
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15 | 5, 0xD1342543DE82EF95 | 5
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
