@@ -125,6 +125,19 @@ def test_book_depth_runs(spark):
     assert [b.notional for b in got[0].bids] == [100.0, 200.0, 300.0, 400.0, 500.0]
 
 
+def test_book_depth_moves_typed_values_once(spark):
+    """Lines of a run are judged together whatever is wrong with one, and they are shuffled once, without their text."""
+    ten = [-5, -4, -3, -2, -1, 1, 2, 3, 4, 5]
+    block = lambda t, pcts: [f"{t},{p},{abs(p) * 10},{abs(p) * 100}" for p in pcts]
+    good, none = "2024-01-01 00:00:01", "2024-02-30 00:00:01"
+    lines = block(good, ten) + [f"{good},x,1,1"] + block(none, ten) + ["2024-02-30 00:00:02,1,1,1", "7"] + block(good, ten) + block("2024-01-01 00:00:02", ten)
+    df = A.read_book_depth(raw(spark, lines))
+    got = df.orderBy("run").collect()
+    assert [(r.run, r.rows, r.status) for r in got] == [(1, 11, "rejected"), (2, 10, "rejected"), (3, 1, "rejected"), (4, 1, "rejected"), (5, 10, "parsed"), (6, 10, "parsed")]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Expand" not in plan
+
+
 def test_quality_report_and_expected_rows(spark):
     l = lambda i, t: f"{i},1,1,1,1,{1704067200000 + t},true"
     r = A.read_agg_trades(raw(spark, ["id,p,q,f,l,t,m", l(1, 0), l(2, 5), "", l(2, 5), l(5, 3), "x", "9,bad"]))

@@ -179,22 +179,28 @@ def read_book_depth(raw: DataFrame) -> DataFrame:
     file; a file is cut into runs by comparing neighbours, and its lines are at
     most a day's.
     """
-    lead = F.substring_index("line", ",", 1)
     head = F.substring(F.col("line"), 1, 1)
-    body = raw.filter((F.col("line") != "") & F.rlike(head, F.lit("^[0-9]$"))).withColumn("__lead", lead).withColumn("__f", F.split("line", ","))
-    w = Window.partitionBy("file").orderBy("pos")
-    new = F.coalesce(F.lag("__lead").over(w) != F.col("__lead"), F.lit(True)).cast("int")
-    body = body.withColumn("__new", new).withColumn("run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    body = raw.filter((F.col("line") != "") & F.rlike(head, F.lit("^[0-9]$"))).withColumn("__f", F.split("line", ","))
     shape = F.rlike("line", F.lit(X.row(X.DATETIME, X.DECIMAL, X.DECIMAL, X.DECIMAL)))
-    body = body.withColumns({"__t": X.read_datetime(F.get("__f", 0)), "__p": _f(1), "depth": _f(2), "notional": _f(3), "__w": shape})
+    lead = F.substring_index("line", ",", 1)
+    # A stamp's one shape makes it and its text stand for each other.
+    body = body.withColumns({"__t": F.when(F.rlike(lead, F.lit(f"^{X.DATETIME}$")), X.read_datetime(lead)), "__p": _f(1), "depth": _f(2), "notional": _f(3)})
     body = body.withColumn("__h", F.when(F.abs("__p") < 1e6, F.round(F.col("__p") * 100, 0)).cast("bigint"))
-    body = body.withColumn("__ok", F.col("__w") & F.col("__t").isNotNull() & F.col("__h").isNotNull() & F.col("depth").isNotNull() & F.col("notional").isNotNull())
+    ok = shape & F.col("__t").isNotNull() & F.col("__h").isNotNull() & F.col("depth").isNotNull() & F.col("notional").isNotNull()
+    # Only what is judged moves to the file's task, not the line: its leading field goes along where no stamp stands for it.
+    body = body.select("stream", "file", "pos", "__t", F.when(F.col("__t").isNull(), lead).alias("__lead"), ok.alias("__ok"),
+                       *[F.when(ok, F.col(c)).alias(c) for c in ("__h", "depth", "notional")])
+    w = Window.partitionBy("file").orderBy("pos")
+    new = (~(F.lag("__t").over(w).eqNullSafe(F.col("__t")) & F.lag("__lead").over(w).eqNullSafe(F.col("__lead")))).cast("int")
+    body = body.withColumn("__new", new).withColumn("run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     inner = F.col("__h").isin(20, -20)
     whole = (~inner) & (F.pmod("__h", F.lit(100)) == 0) & F.col("__h").between(-500, 500) & (F.col("__h") != 0)
+    # Distinct values are counted as sets, in the same pass: a distinct count would send every line once more for each.
+    distinct = lambda c: F.size(F.collect_set(c))
     g = body.groupBy("stream", "file", "run").agg(
         F.min("__t").alias("__lo"), F.max("__t").alias("__hi"), F.every("__ok").alias("__all"), F.count(F.lit(1)).alias("rows"),
-        F.count_distinct(F.when(whole, F.col("__h"))).alias("__bands"), F.count_if(F.coalesce(inner, F.lit(False))).alias("__inner"),
-        F.count_distinct(F.when(inner, F.col("__h"))).alias("__sides"),
+        distinct(F.when(whole, F.col("__h"))).alias("__bands"), F.count_if(F.coalesce(inner, F.lit(False))).alias("__inner"),
+        distinct(F.when(inner, F.col("__h"))).alias("__sides"),
         # A run that is a sample has ten bands; longer ones are rejected, so only those of each side's five are kept.
         F.array_sort(F.collect_set(F.when(whole & (F.col("__h") < 0), F.struct((-F.col("__h")).alias("h"), "depth", "notional")))).alias("__b"),
         F.array_sort(F.collect_set(F.when(whole & (F.col("__h") > 0), F.struct(F.col("__h").alias("h"), "depth", "notional")))).alias("__a"))
