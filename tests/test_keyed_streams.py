@@ -98,3 +98,47 @@ def test_equity_with_late_marks_and_a_funding_print(spark, deliver):
         assert (r.cash, r.value, r.equity) == pytest.approx((want[k].cash, want[k].value, want[k].equity))
     # Nothing waits at the end but marks, holders and totals.
     assert state[-1][0] <= state[-2][0] and state[-1][1] < state[-2][1]
+
+
+def test_thinned_calls_the_store_once_a_group_of_keys():
+    import pandas as pd
+
+    class Value:
+        held, calls = None, 0
+
+        def get(self):
+            self.calls += 1
+            return self.held
+
+        def update(self, v):
+            self.held = v
+        put = update
+
+        def clear(self):
+            self.held = None
+
+    class Handle:
+        def __init__(self):
+            self.list, self.value = Value(), Value()
+            self.list.held = []
+        getListState = lambda self, *a: self.list
+        getValueState = lambda self, *a: self.value
+        registerTimer = deleteTimer = lambda self, at: None
+
+    class Clock:
+        getCurrentWatermarkInMs = lambda self: 0
+
+    rng = random.Random(3)
+    rows = [(f"k{rng.randrange(200)}", START + dt.timedelta(minutes=m)) for m in range(3000)]
+    handle, thin, got = Handle(), K.Thinned(90 * 60 * 10**9, "t", ["t", "key"]), []
+    thin.init(handle)
+    for part in (rows[:1500], rows[1500:]):
+        frame = pd.DataFrame({"key": [k for k, _ in part], "t": [t for _, t in part], "key__": [k for k, _ in part]})
+        for out in thin.handleInputRows((0,), iter([frame[:700], frame[700:]]), Clock()):
+            got += list(zip(out["key"], out["t"].dt.to_pydatetime()))
+    want, last = [], {}
+    for k, t in rows:
+        if k not in last or t - last[k] >= dt.timedelta(minutes=90):
+            want.append((k, t))
+            last[k] = t
+    assert sorted(got) == sorted(want) and handle.list.calls == 2

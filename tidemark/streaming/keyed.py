@@ -12,6 +12,7 @@ are dropped by Spark (flows.late_step marks them instead).
 """
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -99,30 +100,45 @@ def gaps(stream: DataFrame, keys: Sequence[str], order: Sequence[str], number: s
     return stateful(stream, keys, Gaps(keys, order, number, at, idle), StructType([*stream.schema, *StructType.fromDDL("gap boolean")]))
 
 
+#: Groups that keys are dealt into where a key's own rows are few: a call into Python and its exchange with the store is paid a group and not a key.
+BUCKETS = 256
+
+
 class Thinned(Timed):
-    """Keeps a row once `interval` passed since the last kept one; after that stretch the key needs no state."""
+    """For each key of a group, keeps a row once `interval` passed since the last kept one; after that stretch the key needs no state."""
 
-    def __init__(self, interval: int, at: str):
-        self.interval, self.at = interval, at
+    def __init__(self, interval: int, at: str, columns: Sequence[str]):
+        self.interval, self.at, self.columns = interval, at, list(columns)
 
     def open(self, handle) -> None:
-        self.last = handle.getValueState("last", "at bigint")
+        self.last = handle.getListState("last", "name string, at bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(rows).sort_values(self.at, kind="stable")
-        stamps, state = nanos(batch[self.at]), self.last.get()
-        last, keep, at = (state[0] if state is not None else None), [], 0
-        while at < len(stamps):
-            # The next row that is far enough is found by halving, so dense stretches cost one step each.
-            at = at if last is None else max(at, int(np.searchsorted(stamps, last + self.interval)))
-            if at < len(stamps):
-                last = int(stamps[at])
-                keep.append(at)
-                at += 1
-        if last is not None:
-            self.last.update((last,))
-            self.set_timer(millis_after(last + self.interval))
-        yield batch.iloc[keep]
+        batch, last, keep = pd.concat(rows), dict(self.last.get()), []
+        codes, names = pd.factorize(batch["key__"])
+        stamps = nanos(batch[self.at])
+        order = np.lexsort((stamps, codes))
+        edge = np.searchsorted(codes[order], np.arange(len(names) + 1)).tolist()
+        stamps = stamps[order].tolist()
+        for name, at, stop in zip(names, edge, edge[1:]):
+            kept = last.get(name)
+            while at < stop:
+                # The next row that is far enough is found by halving, so dense stretches cost one step each.
+                at = at if kept is None else bisect_left(stamps, kept + self.interval, at, stop)
+                if at < stop:
+                    kept = stamps[at]
+                    keep.append(at)
+                    at += 1
+            last[name] = kept
+        # What the watermark has passed can hold back no later row.
+        passed = timerValues.getCurrentWatermarkInMs()
+        left = [(name, kept) for name, kept in last.items() if millis_after(kept + self.interval) > passed]
+        if left:
+            self.last.put(left)
+        else:
+            self.last.clear()
+        self.set_timer(millis_after(max(kept for _, kept in left) + self.interval) if left else None)
+        yield batch[self.columns].iloc[order[keep]]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.last.clear()
@@ -130,9 +146,12 @@ class Thinned(Timed):
         return iter([])
 
 
-def thinned(stream: DataFrame, interval: int, keys: Sequence[str], at: str) -> DataFrame:
-    """Rows at least `interval` microseconds after the last kept one of their key, in order of at. Batches bring a key's rows in order."""
-    return stateful(stream, keys, Thinned(interval * 1000, at), stream.schema)
+def thinned(stream: DataFrame, interval: int, keys: Sequence[str], at: str, buckets: int = BUCKETS) -> DataFrame:
+    """Rows at least `interval` microseconds after the last kept one of their key, in order of at. Batches bring a key's rows in order.
+    State is kept by groups of keys, `buckets` in all."""
+    # As JSON a key of any columns is one text, nulls too.
+    dealt = stream.withColumns({"key__": F.to_json(F.struct(*keys)), "bucket__": F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")})
+    return stateful(dealt, ["bucket__"], Thinned(interval * 1000, at, stream.columns), stream.schema)
 
 
 class Positions(StatefulProcessor):
