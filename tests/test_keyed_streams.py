@@ -142,3 +142,11 @@ def test_thinned_calls_the_store_once_a_group_of_keys():
             want.append((k, t))
             last[k] = t
     assert sorted(got) == sorted(want) and handle.list.calls == 2
+
+
+def test_netted_events_are_one_row_a_stamp(spark):
+    t = START
+    rows = [("u", t, "fill", "a", 1.0, -5.0, None)] * 3 + [("u", t, "mark", None, None, None, p) for p in (4.0, 6.0)] + [("u", t, "print", None, None, None, p) for p in (0.25, 0.5, None)]
+    got = K.netted(spark.createDataFrame(rows, K.EVENTS)).collect()
+    assert {(r.kind, r.account, r.dq, r.dc) + ((r.price,) if r.kind != "fill" else ()) for r in got} == {
+        ("fill", "a", 3.0, -15.0), ("mark", None, None, None, 6.0), ("print", None, None, None, 0.75)} and len(got) == 3

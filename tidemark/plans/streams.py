@@ -171,7 +171,7 @@ def _(s, d):
     events = reduce(DataFrame.unionByName, K.book_events(V.fills(s, d), V.marks(s, d), V.nation_funding(s, d)))
     late = (F.col("kind") == "mark") & (F.dayofyear("t") > 340) & (F.crc32("instrument") % 2 == 0)
     events = settle(events.withColumn("part", F.least(by_year(F.col("t")) + late.cast("int"), F.lit(PARTS - 1))))
-    return kept(s, events, F.col("part"), lambda x: K.equity(x.drop("part")), "t", "40 days").withColumn("t", F.col("t").cast("date"))
+    return kept(s, events, F.col("part"), lambda x: K.equity(K.netted(x.drop("part"))), "t", "40 days").withColumn("t", F.col("t").cast("date"))
 
 
 @query("t8_kind_filter", "event_id kind", "SELECT event_id, event_type AS kind FROM events WHERE event_type IN ('click', 'purchase')")

@@ -206,6 +206,14 @@ def book_events(fills: DataFrame | None = None, marks: DataFrame | None = None,
     return out
 
 
+def netted(events: DataFrame) -> DataFrame:
+    """A watermarked stream of book_events with one row for all of an instrument's, stamp's, kind's and account's: sums of fills and rates, the largest mark.
+    Spark adds them up before it shuffles them, so equity after it waits on stamps and not on fills."""
+    price = F.when(F.col("kind") == "mark", F.max("price")).otherwise(F.sum(F.coalesce("price", F.lit(0.0))))
+    made = events.groupBy("instrument", "t", "kind", "account").agg(F.sum("dq").alias("dq"), F.sum("dc").alias("dc"), price.alias("price"))
+    return made.select("instrument", "t", "kind", "account", "dq", "dc", "price")
+
+
 class Waiting(Timed):
     """Rows wait until the watermark has passed them, so they are worked on in order of their stamps, whatever order they came in."""
 
