@@ -83,3 +83,37 @@ def test_a_full_cache_changes_nothing(monkeypatch):
         buf, offsets = column(pa.array(texts))
         ids, n = e.encode(buf, offsets)
         assert ids.tolist() == [i for t in texts for i in e.tokenizer.encode(t).ids]
+
+
+KINDS = "abesStTdlmrvLL''''12²½.,-#<=`_ \n\téÉßÀÿ×÷ªµŠİǅ̸́̇\x1c\x7f日"
+
+
+@pytest.mark.parametrize("file", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+@settings(max_examples=150, deadline=None)
+@given(texts=st.lists(st.text(alphabet=st.sampled_from(KINDS), max_size=60), min_size=1, max_size=6))
+def test_cuts_between_kinds_of_characters_change_no_id(file, texts):
+    e = encoder(file)
+    buf, offsets = column(pa.array(texts, pa.string()))
+    ids, n = e.encode(buf, offsets)
+    edge = np.concatenate([[0], np.cumsum(n)]).astype(int)
+    assert [ids[a:b].tolist() for a, b in zip(edge, edge[1:])] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("file", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_a_word_is_encoded_once_whatever_signs_follow(file):
+    class Counted:
+        def __init__(self, model):
+            self.model, self.calls = model, 0
+
+        def tokenize(self, piece):
+            self.calls += 1
+            return self.model.tokenize(piece)
+
+    e = Encoder(public_tokenizers.path(file))
+    e.model = Counted(e.model)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}é" for i in range(300)]
+    text = "".join(f" {w}{sign}" for sign in ("", ".", ",", "###", "!!", "5") for w in words)
+    buf, offsets = column(pa.array([text]))
+    ids, _ = e.encode(buf, offsets)
+    assert ids.tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+    assert e.model.calls == len(words) + 5

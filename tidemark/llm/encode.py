@@ -2,23 +2,33 @@
 
 A text is cut where its tokenizer's own pre-tokenizer always cuts: for the byte
 tokenizer before a blank that leads a word and around other white space, for the
-word tokenizer at white space. A stretch seen before, by its 64-bit hash and
-length, costs an array look-up; a new one goes through the library's normalizer,
-pre-tokenizer and model. Texts with white space outside ASCII or with the start
-of a special token are encoded whole by the library.
+word tokenizer at white space, for both also between letters, digits and other
+visible characters. A stretch seen before, by its 64-bit hash, costs an array
+look-up. A new one of a single kind of characters is one pre-token and goes to the
+library's model; others go through its normalizer and pre-tokenizer first. Texts
+with white space outside ASCII or with the start of a special token are encoded
+whole by the library.
 """
 from __future__ import annotations
 
 import re
+import string
+from codecs import charmap_decode
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
 from .words import BYTE_BASE, PLAIN, runs
 
 UNUSUAL = re.compile(rb"<\||\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
-SLOT_BITS, MOST_IDS = 19, 1 << 22
+SLOT_BITS, MOST_IDS = 21, 1 << 23
 SPACE = np.isin(np.arange(256), list(b"\t\n\v\f\r "))
+#: For each byte its kind, LETTER, DIGIT or 3 for other visible characters of ASCII; 0 for white space and all that needs a closer look.
+LETTER, DIGIT, APOSTROPHE = 1, 2, ord("'")
+KIND = np.zeros(256, np.uint8)
+for _kind, _bytes in enumerate((string.ascii_letters, string.digits, string.punctuation), LETTER):
+    KIND[list(_bytes.encode())] = _kind
 
 
 def word_cuts(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,6 +60,30 @@ def byte_cuts(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, np.append(starts[1:], n)
 
 
+def kinds(buf: np.ndarray) -> np.ndarray:
+    """The kind of each byte, where U+00C0 to U+00FF but for two signs are letters too."""
+    kind = KIND[buf]
+    lead = np.flatnonzero(buf[:-1] == 0xC3)
+    lead = lead[(buf[lead + 1] | 0x20) != 0xB7]
+    kind[lead] = kind[lead + 1] = LETTER
+    return kind
+
+
+def kind_cuts(buf: np.ndarray, kind: np.ndarray, starts: np.ndarray, stops: np.ndarray, digits: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches cut again where the kind changes, but for an apostrophe's end, as in `'s`; with digits also between digits."""
+    left, right = kind[:-1], kind[1:]
+    inner = (left != right) & (left > 0) & (right > 0) & (buf[:-1] != APOSTROPHE)
+    if digits:
+        inner |= (left == DIGIT) & (right == DIGIT)
+    inner = np.flatnonzero(inner) + 1
+    both = []
+    for edges in (starts, stops):
+        edge = np.zeros(len(buf) + 1, bool)
+        edge[edges] = edge[inner] = True
+        both.append(np.flatnonzero(edge))
+    return both[0], both[1]
+
+
 class Encoder:
     """A worker's encoder, see `shared`. Its cache is a table of fixed size, where a newer stretch takes the place of an older one."""
 
@@ -60,6 +94,7 @@ class Encoder:
         self.by_word = self.normalizer is not None
         self.cuts = word_cuts if self.by_word else byte_cuts
         self.pieces = _pieces(self.by_word)
+        self.shown = "".join(_shown()[b] for b in range(256))
         self.clear()
 
     def clear(self) -> None:
@@ -76,6 +111,21 @@ class Encoder:
         tokenize = self.model.tokenize
         return [t.id for p in found for t in tokenize(p)]
 
+    def new_ones(self, buf: np.ndarray, kind: np.ndarray, raw: bytes, starts: np.ndarray, stops: np.ndarray) -> list[list[int]]:
+        """The ids of each stretch."""
+        tokenize, shown, out = self.model.tokenize, self.shown, []
+        look = np.flatnonzero((kind == 0) & ~SPACE[buf] | (buf == APOSTROPHE))
+        single = np.searchsorted(look, starts) == np.searchsorted(look, stops)
+        # A character for each byte, so that places stay the same.
+        whole = "" if self.by_word else charmap_decode(raw, "strict", shown)[0]
+        for one, a, b in zip(single.tolist(), starts.tolist(), stops.tolist()):
+            if not one:
+                out.append(self.new(raw[a:b]))
+            else:
+                piece = charmap_decode(raw[a:b].decode().lower().encode(), "strict", shown)[0] if self.by_word else whole[a:b]
+                out.append([t.id for t in tokenize(piece)])
+        return out
+
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of consecutive texts, and how many each has."""
         raw = buf.tobytes()
@@ -104,7 +154,8 @@ class Encoder:
         return np.concatenate(ids), np.concatenate(counts).astype(np.int64)
 
     def _common(self, buf, offsets, raw):
-        starts, stops = self.cuts(buf, offsets)
+        kind = kinds(buf)
+        starts, stops = kind_cuts(buf, kind, *self.cuts(buf, offsets), self.by_word)
         h = runs(WHOLE[buf], starts, stops, BYTE_BASE) | np.uint64(1)
         slot = (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
         missing = np.flatnonzero(self.keys[slot] != h)
@@ -114,12 +165,12 @@ class Encoder:
                 self.clear()
                 missing = np.arange(len(h))
             keys, first, place = np.unique(h[missing], return_index=True, return_inverse=True)
-            own = [self.new(raw[starts[i]:stops[i]]) for i in missing[first]]
+            own = self.new_ones(buf, kind, raw, starts[missing[first]], stops[missing[first]])
             size = np.fromiter(map(len, own), np.int64, len(own))
             total = int(size.sum())
             if self.used + total > len(self.ids):
                 self.ids = np.concatenate([self.ids[:self.used], np.zeros(max(total, self.used), np.uint32)])
-            self.ids[self.used:self.used + total] = np.fromiter((t for x in own for t in x), np.uint32, total)
+            self.ids[self.used:self.used + total] = np.fromiter(chain.from_iterable(own), np.uint32, total)
             where = self.used + np.cumsum(size) - size
             self.used += total
             extra_at, extra_size = where[place], size[place]
