@@ -19,10 +19,10 @@ from itertools import chain
 
 import numpy as np
 
-from .words import BYTE_BASE, PLAIN, runs
+from .words import BYTE_BASE, PLAIN, SLICE, runs
 
 UNUSUAL = re.compile(rb"<\||\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
-SLOT_BITS, MOST_IDS = 21, 1 << 23
+SLOT_BITS, MOST_IDS = 20, 1 << 22
 SPACE = np.isin(np.arange(256), list(b"\t\n\v\f\r "))
 #: For each byte its kind, LETTER, DIGIT or 3 for other visible characters of ASCII; 0 for white space and all that needs a closer look.
 LETTER, DIGIT, APOSTROPHE = 1, 2, ord("'")
@@ -99,7 +99,8 @@ class Encoder:
 
     def clear(self) -> None:
         self.keys, self.where, self.size = (np.zeros(1 << SLOT_BITS, t) for t in (np.uint64, np.int32, np.int32))
-        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        # Room for the ids of one more slice, of a byte each at most. Memory not yet written to is not taken.
+        self.ids, self.used = np.empty(MOST_IDS + SLICE, np.uint32), 0
 
     def new(self, stretch: bytes) -> list[int]:
         text = stretch.decode()
@@ -169,7 +170,7 @@ class Encoder:
             size = np.fromiter(map(len, own), np.int64, len(own))
             total = int(size.sum())
             if self.used + total > len(self.ids):
-                self.ids = np.concatenate([self.ids[:self.used], np.zeros(max(total, self.used), np.uint32)])
+                self.ids = np.concatenate([self.ids[:self.used], np.empty(total, np.uint32)])
             self.ids[self.used:self.used + total] = np.fromiter(chain.from_iterable(own), np.uint32, total)
             where = self.used + np.cumsum(size) - size
             self.used += total
