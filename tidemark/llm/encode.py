@@ -22,7 +22,7 @@ import numpy as np
 from .words import BYTE_BASE, PLAIN, SLICE, runs
 
 UNUSUAL = re.compile(rb"<\||\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
-SLOT_BITS, MOST_IDS = 20, 1 << 22
+SLOT_BITS, MOST_IDS = 19, 1 << 21
 SPACE = np.isin(np.arange(256), list(b"\t\n\v\f\r "))
 #: For each byte its kind, LETTER, DIGIT or 3 for other visible characters of ASCII; 0 for white space and all that needs a closer look.
 LETTER, DIGIT, APOSTROPHE = 1, 2, ord("'")
